@@ -54,9 +54,20 @@ class WuManber:
 
     def search(self, words: list[str]) -> set[int]:
         """The items of which a pattern occurs in the words."""
-        run, shift, farthest, buckets, found = self.run, self.shift, self.farthest, self.buckets, set()
+        found: set[int] = set()
+        for _, owners in self.matches(words):
+            found |= owners
+        return found
+
+    def ends(self, words: list[str]) -> list[int]:
+        """The places of the last words of all occurrences, ascending."""
+        return [end for end, _ in self.matches(words)]
+
+    def matches(self, words: list[str]) -> Iterator[tuple[int, set[int]]]:
+        """(place of the last word, items) of every occurrence of a pattern."""
+        run, shift, farthest, buckets = self.run, self.shift, self.farthest, self.buckets
         if len(words) < run:
-            return found
+            return
         codes = list(map(self.code.get, words))
         end, size = run - 1, len(codes)
         while end < size:
@@ -67,9 +78,8 @@ class WuManber:
             window = tuple(codes[end - run + 1 : end + 1])
             for pattern, owners in buckets.get(window[-3:], ()):
                 if pattern == window:
-                    found |= owners
+                    yield end, owners
             end += 1
-        return found
 
 
 def _blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
