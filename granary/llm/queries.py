@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import leakage, near_duplicates, neighbors, splitting, tokens
+from granary.llm import generated, leakage, near_duplicates, neighbors, reading, secrets, splitting, tokens
 from granary.plans.runtime import prepare, table
 
 NEAR = 0.82
@@ -16,6 +16,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(near, NEAR)
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.nearest_vectors(table(prepare(spark), d, "chunks"))
+    return near.select(F.col("id").alias("chunk_id"), "other", "similarity")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = secrets.secret_lines(table(prepare(spark), d, "chunks"), table(spark, d, "files"))
+    return lines.withColumnRenamed("id", "chunk_id")
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    blanked = secrets.redacted(table(prepare(spark), d, "chunks"), table(spark, d, "files"))
+    return blanked.withColumnRenamed("id", "chunk_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(prepare(spark), d, "chunks")).select(F.col("id").alias("chunk_id")).distinct()
 
@@ -29,6 +44,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.all_pairs(*near_duplicates.near_duplicates(table(prepare(spark), d, "chunks")))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, class_id, links): the class of equal texts, and its number of similar classes."""
+    membership, pairs = near_duplicates.near_duplicates(table(prepare(spark), d, "chunks"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return membership.join(ends, "rep", "left").select(
+        F.col("id").alias("chunk_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return generated.not_handwritten(generated.label_files(table(prepare(spark), d, "files"), table(spark, d, "chunks")))
+
+
+def p5_labels(spark: SparkSession, d: str) -> DataFrame:
+    return generated.label_files(table(prepare(spark), d, "files"), table(spark, d, "chunks")).select("file_id", "label")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(prepare(spark), d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -37,7 +69,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(prepare(spark), d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p6_ids, p7_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    tables = (table(prepare(spark), d, name) for name in ("documents", "reading_grades", "benchmark"))
+    return reading.reading_levels(*tables)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_neighbours, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups,
+        p5_found, p5_labels, p6_ids, p7_found, p8_found,
+    )
+}
 
 _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
 
