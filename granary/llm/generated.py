@@ -57,12 +57,8 @@ NOT_CODE = (
 LONG_LINE = 200
 
 
-def _log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(sum((F.exp(t - top) for t in terms), F.lit(0.0)))
-
-
 def _each(name: str) -> list[Column]:
+    """The five columns of a name, one for each label."""
     return [F.col(f"{name}_{i}") for i in range(len(LABELS))]
 
 
@@ -80,8 +76,14 @@ def _text_evidence(chunks: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(lines, r"\s+", "")).alias("long_chars"),
         (F.length(lines) - F.length(F.replace(lines, F.lit(" "), F.lit("")))).alias("long_spaces"),
         (F.length(lines) - F.length(F.regexp_replace(lines, r"[(){}\[\];=.?:]", ""))).alias("long_marks"),
-        kept(
-            r"(?m)^[ \t]*(?:(?:[-+]?(?:0x)?[0-9a-fA-F.]+[ \t]*[,;][ \t]*){4,}(?:[-+]?(?:0x)?[0-9a-fA-F.]+)?|[^\n]{0,80}[\"'`]?[A-Za-z0-9+/=\\]{160,}+[^\n]{0,4}|[\"']?[A-Za-z0-9+/]{60,}={0,2}[\"']?[ \t]*[+,\;)]*)[ \t\r]*$"
+        (
+            kept(
+                r"(?m)^[ \t]*(?:(?:[-+]?(?:0x)?[0-9a-fA-F.]++[ \t]*+[,;][ \t]*+){4,}+(?:[-+]?(?:0x)?[0-9a-fA-F.]++)?"
+                r"|[\"']?[A-Za-z0-9+/]{60,199}={0,2}[\"']?[ \t]*[+,\\;)]*)[ \t\r]*$"
+            )
+            # of the long lines, runs of characters that encoded data is made of
+            + F.length(lines)
+            - F.length(F.regexp_replace(lines, r"[A-Za-z0-9+/=\\]{160,}+", ""))
         ).alias("blob_chars"),
         kept(r"(?mi)^[ \t]*(?:insert into \S+ (?:\([^)\n]*\) )?values[^\n]*|\([^\n]*\)[,;])$").alias("insert_chars"),
         F.concat(*(head(says).cast("int").cast("string") for says in (SAYS_GENERATED, SAYS_VENDORED))).alias("says"),
@@ -150,22 +152,31 @@ def _dir_evidence(dirs: DataFrame) -> DataFrame:
     return dirs.select("root", "dir", "depth", *columns)
 
 
-def _messages_up(nodes: DataFrame, parent: Column) -> DataFrame:
-    """Each parent's sum of what its children say about its label; partial sums before the shuffle."""
-    said = [_log_sum([F.lit(math.log(row[i])) + F.col(f"b_{i}") for i in range(len(LABELS))]) for row in COMPATIBLE]
-    sent = nodes.select("root", parent.alias("dir"), *(m.alias(f"m_{i}") for i, m in enumerate(said)))
-    return sent.groupBy("root", "dir").agg(*(F.sum(f"m_{i}").alias(f"m_{i}") for i in range(len(LABELS))))
+N = range(len(LABELS))
 
 
-def _down(child: str) -> list[Column]:
-    """What a parent's belief, without the child's own share, says about the child's label."""
-    own = [
-        _log_sum([F.lit(math.log(row[i])) + F.col(f"{child}_{i}") for i in range(len(LABELS))]) for row in COMPATIBLE
-    ]
-    rest = [F.col(f"t_{i}") - own[i] for i in range(len(LABELS))]
-    return [
-        _log_sum([F.lit(math.log(COMPATIBLE[p][i])) + rest[p] for p in range(len(LABELS))]) for i in range(len(LABELS))
-    ]
+def _spoken(nodes: DataFrame, of: str, to: str, *kept: str) -> DataFrame:
+    """Adds to_0..to_4: what a child with log-beliefs of_0..of_4 says about its parent's label."""
+    near = nodes.select(*kept, F.greatest(*_each(of)).alias("_top"), *_each(of))
+    likely = near.select(*kept, *_each(of), *(F.exp(F.col(f"{of}_{i}") - F.col("_top")).alias(f"_p_{i}") for i in N))
+    said = [F.log(sum((F.lit(COMPATIBLE[p][i]) * F.col(f"_p_{i}") for i in N), F.lit(0.0))).alias(f"{to}_{p}") for p in N]
+    return likely.select(*kept, *_each(of), *said)
+
+
+def _judged(nodes: DataFrame, parents: DataFrame, of: str, to: str, *kept: str) -> DataFrame:
+    """(kept, to_0..to_4): own log-beliefs and what the parent believes without this child's share."""
+    met = _spoken(nodes, of, "_m", *kept).join(parents, ["root", "up"])
+    rest = met.select(*kept, *_each(of), *((F.col(f"t_{i}") - F.col(f"_m_{i}")).alias(f"_r_{i}") for i in N))
+    rest = rest.withColumn("_top", F.greatest(*_each("_r")))
+    rest = rest.select(*kept, *_each(of), *(F.exp(F.col(f"_r_{i}") - F.col("_top")).alias(f"_q_{i}") for i in N))
+    heard = [F.log(sum((F.lit(COMPATIBLE[p][i]) * F.col(f"_q_{p}") for p in N), F.lit(0.0))) for i in N]
+    return rest.select(*kept, *((F.col(f"{of}_{i}") + heard[i]).alias(f"{to}_{i}") for i in N))
+
+
+def _messages(nodes: DataFrame, of: str) -> DataFrame:
+    """(root, dir, m_0..m_4): each parent's sum over its children; partial sums before the shuffle."""
+    sent = _spoken(nodes, of, "m", "root", "up")
+    return sent.groupBy("root", F.col("up").alias("dir")).agg(*(F.sum(f"m_{i}").alias(f"m_{i}") for i in N))
 
 
 def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -193,43 +204,31 @@ def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     found = leaves.select("root", "dir").distinct().withColumn("parts", parts)
     dirs = found.select("root", F.explode(on_way).alias("dir")).distinct()
     dirs = _dir_evidence(dirs.withColumn("depth", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))))
-    leaves = leaves.withColumn("dir", F.array_join(parts, "/"))
+    leaves = leaves.withColumn("up", F.array_join(parts, "/"))
+    heard = _messages(leaves, "e")
+    from_files = [F.coalesce(F.col(f"m_{i}"), F.lit(0.0)) for i in N]
+    dirs = dirs.join(heard, ["root", "dir"], "left").select(
+        "root", "dir", "depth", F.regexp_replace("dir", r"/?[^/]*$", "").alias("up"), *((F.col(f"e_{i}") + from_files[i]).alias(f"b_{i}") for i in N)
+    )
     dirs = cut(dirs)
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
 
-    up = F.regexp_replace("dir", r"/?[^/]*$", "")
-    as_belief = [F.col(f"e_{i}").alias(f"b_{i}") for i in range(len(LABELS))]
-    heard = _messages_up(leaves.select("root", "dir", *as_belief), F.col("dir"))
-    levels: dict[int, DataFrame] = {}
-    for depth in range(deepest, -1, -1):  # leaves to roots
-        here = dirs.where(F.col("depth") == depth).join(heard, ["root", "dir"], "left")
-        levels[depth] = here.select(
-            "root", "dir", *((F.col(f"e_{i}") + F.coalesce(F.col(f"m_{i}"), F.lit(0.0))).alias(f"b_{i}") for i in range(len(LABELS)))
+    levels = {deepest: dirs.where(F.col("depth") == deepest)}
+    for depth in range(deepest - 1, -1, -1):  # leaves to roots
+        here = dirs.where(F.col("depth") == depth).join(_messages(levels[depth + 1], "b"), ["root", "dir"], "left")
+        levels[depth] = cut(
+            here.select("root", "dir", "up", *((F.col(f"b_{i}") + F.coalesce(F.col(f"m_{i}"), F.lit(0.0))).alias(f"b_{i}") for i in N))
         )
-        if depth:
-            levels[depth] = cut(levels[depth])
-            heard = cut(
-                heard.unionByName(_messages_up(levels[depth], up))
-                .groupBy("root", "dir")
-                .agg(*(F.sum(f"m_{i}").alias(f"m_{i}") for i in range(len(LABELS))))
-            )
-    total = levels[0].select("root", "dir", *((F.col(f"b_{i}") + math.log(ROOT_PRIOR[i])).alias(f"t_{i}") for i in range(len(LABELS))))
-    totals = [total]
+    total = levels[0].select("root", "dir", *((F.col(f"b_{i}") + math.log(ROOT_PRIOR[i])).alias(f"t_{i}") for i in N))
+    beliefs = total
     for depth in range(1, deepest + 1):  # roots to leaves
-        parents = total.withColumnRenamed("dir", "up")
-        met = levels[depth].withColumn("up", up).join(parents, ["root", "up"])
-        total = met.select("root", "dir", *((F.col(f"b_{i}") + d).alias(f"t_{i}") for i, d in enumerate(_down("b"))))
-        total = cut(total)
-        totals.append(total)
-    beliefs = totals[0]
-    for more in totals[1:]:
-        beliefs = beliefs.unionByName(more)
-    judged = leaves.join(beliefs, ["root", "dir"]).select(
-        "f", *((F.col(f"e_{i}") + d).alias(f"s_{i}") for i, d in enumerate(_down("e")))
-    )
+        total = cut(_judged(levels[depth], total.withColumnRenamed("dir", "up"), "b", "t", "root", "up", "dir").drop("up"))
+        beliefs = beliefs.unionByName(total)
+    judged = _judged(leaves, beliefs.withColumnRenamed("dir", "up"), "e", "s", "root", "up", "f")
     best = F.greatest(*_each("s"))
-    label = F.coalesce(*(F.when(s == best, F.lit(name)) for s, name in zip(_each("s"), LABELS)))
-    return judged.select(F.col("f").alias("file_id"), label.alias("label"), F.exp(best - _log_sum(_each("s"))).alias("confidence"))
+    label = F.coalesce(*(F.when(x == best, F.lit(name)) for x, name in zip(_each("s"), LABELS)))
+    weight = sum((F.exp(x - best) for x in _each("s")), F.lit(0.0))
+    return judged.select(F.col("f").alias("file_id"), label.alias("label"), (1 / weight).alias("confidence"))
 
 
 def not_handwritten(labels: DataFrame) -> DataFrame:
