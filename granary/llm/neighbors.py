@@ -86,10 +86,12 @@ def _curve_keys(dim: int, orderings: int, projected: int, bits: int):
     return keys
 
 
-def _best_in_window(ids, unit, lo, hi, start, stop, k, floor):
-    """The k best of rows [start, stop) among rows [lo, hi): arrays (id, other, similarity)."""
+def _best_in_window(ids, ordering, unit, lo, hi, start, stop, k, floor):
+    """The k best of rows [start, stop) among rows [lo, hi) of the same ordering: arrays (id, other, similarity)."""
     g = unit[start:stop].astype(np.float32) @ unit[lo:hi].astype(np.float32).T
     g[ids[start:stop, None] == ids[None, lo:hi]] = -9
+    if ordering[lo] != ordering[hi - 1]:  # the same vectors come again in the next ordering
+        g[ordering[start:stop, None] != ordering[None, lo:hi]] = -9
     if floor is None and g.shape[1] > k:
         kth = np.partition(g, g.shape[1] - k, axis=1)[:, g.shape[1] - k]
         row, col = np.nonzero((g >= kth[:, None] - SLACK) & (g > -2))
@@ -119,25 +121,26 @@ def _best_in_window(ids, unit, lo, hi, start, stop, k, floor):
 
 def _window_search(dim: int, window: int, k: int, floor: float | None):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = np.empty(0, np.int64), np.empty((0, dim))
+        ids, ordering, unit = np.empty(0, np.int64), np.empty(0, np.int32), np.empty((0, dim))
         before = 0  # rows of the finished window kept in front as context
 
         def emit(start, stop, hi):
-            a, b, s = _best_in_window(ids, unit, 0, hi, start, stop, k, floor)
+            a, b, s = _best_in_window(ids, ordering, unit, 0, hi, start, stop, k, floor)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["rep", "other", "similarity"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.concatenate([ids, batch.column("rep").to_numpy(zero_copy_only=False)])
+            ordering = np.concatenate([ordering, batch.column("ordering").to_numpy(zero_copy_only=False)])
             unit = np.concatenate([unit, _unit(_vectors(batch.column("vec"), dim))])
             while len(ids) >= before + 2 * window:
                 yield emit(before, before + window, before + 2 * window)
-                ids, unit, before = ids[before:], unit[before:], window
+                ids, ordering, unit, before = ids[before:], ordering[before:], unit[before:], window
         while len(ids) > before:
             stop = min(before + window, len(ids))
             yield emit(before, stop, min(stop + window, len(ids)))
-            ids, unit, before = ids[before:], unit[before:], stop - before
+            ids, ordering, unit, before = ids[before:], ordering[before:], unit[before:], stop - before
 
     return search
 
@@ -186,7 +189,7 @@ def nearest_vectors(
     # equal keys of many different vectors may be cut anywhere, so the id is part of the range key
     sorted_ = placed.repartitionByRange("ordering", "key", "rep").sortWithinPartitions("ordering", "key", "rep")
     found = (
-        sorted_.select("rep", "vec")
+        sorted_.select("rep", "ordering", "vec")
         .mapInArrow(_window_search(dim, window, k, min_similarity), "rep bigint, other bigint, similarity double")
         .groupBy("rep", "other")
         .agg(F.max("similarity").alias("similarity"))

@@ -86,8 +86,8 @@ _WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\
 
 SQL = {
     "p1_found": """
-        with v as (select chunk_id, list_transform(vec, x -> x::double) as v from chunks
-                   where len(vec) = 64 and len(list_filter(vec, x -> x <> 0)) > 0),
+        with v as (select chunk_id, [x::double for x in vec] as v from chunks
+                   where len(vec) = 64 and len([x for x in vec if x <> 0]) > 0),
         s as (select a.chunk_id as a, b.chunk_id as b, round(list_cosine_similarity(a.v, b.v), 6) as sim
               from v a join v b on a.chunk_id <> b.chunk_id),
         r as (select a, b, sim, row_number() over (partition by a order by sim desc, b) as n from s)
@@ -100,14 +100,13 @@ SQL = {
            or (length(kept) > 0 and length(kept) - length(replace(kept, chr(10), '')) + 1 > 80)
     """,
     "p4_found": """
-        with w as (select chunk_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), x -> lower(x)) as w
+        with w as (select chunk_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] as w
                    from chunks where text is not null),
-        s as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1),
-                     i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from w),
+        s as (select distinct chunk_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) as s from w),
         n as (select chunk_id, count(*) as n from s group by chunk_id having count(*) >= 10),
         k as (select s.chunk_id, n.n, s.s from s join n using (chunk_id)),
-        c as (select x.chunk_id as chunk_a, y.chunk_id as chunk_b, x.n as na, y.n as nb, count(*) as both
+        c as (select x.chunk_id as chunk_a, y.chunk_id as chunk_b, x.n as na, y.n as nb, count(*) as common
               from k x join k y on x.s = y.s and x.chunk_id < y.chunk_id group by all)
-        select chunk_a, chunk_b from c where both >= 0.6 * (na + nb - both) - 1e-9
+        select chunk_a, chunk_b from c where common >= 0.6 * (na + nb - common) - 1e-9
     """,
 }
