@@ -36,13 +36,16 @@ def analyse_queries(queries: DataFrame, id_col: str = "query_id", text_col: str
 
 
 def _phrase_postings(phrases: DataFrame, analysed: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf) of terms of several parts: the parts side by side, in order."""
-    starts = analysed.select("chunk_id", "index_tokens", F.explode(F.array_distinct("index_tokens")).alias("start"))
-    met = starts.join(phrases.withColumn("start", F.col("parts")[0]), "start")
-    at = F.sequence(F.lit(1), F.size("index_tokens") - F.size("parts") + 1)
-    times = F.size(F.filter(at, lambda i: F.slice("index_tokens", i, F.size("parts")) == F.col("parts")))
-    fits = F.size("index_tokens") >= F.size("parts")
-    return met.where(fits).select("term", "chunk_id", times.cast("bigint").alias("tf")).where("tf > 0")
+    """(term, chunk_id, tf) of terms of several parts: the parts side by side, in order.
+
+    Every part votes for the place where its phrase would start; a start with all votes is
+    an occurrence. The join is on the part, so its size is that of the parts' postings.
+    """
+    parts = phrases.select("term", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    placed = analysed.select("chunk_id", F.posexplode("index_tokens").alias("at", "part"))
+    votes = placed.join(parts, "part").groupBy("term", "n", "chunk_id", (F.col("at") - F.col("k")).alias("start"))
+    starts = votes.agg(F.count(F.lit(1)).alias("votes")).where("votes = n")
+    return starts.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def score(queries: DataFrame, analysed: DataFrame, post: DataFrame | None = None) -> DataFrame:
