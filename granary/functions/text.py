@@ -102,12 +102,14 @@ def identifier_hits(ids: Column | str, text: Column | str) -> Column:
     return F.size(F.filter(col(ids), lambda i: F.contains(col(text), i)))
 
 
-def file_name_boost(terms: Column | str, path: Column | str, boost: float) -> Column:
-    """The boost if a term of three letters or more is in the file's name."""
-    base = F.lower(F.regexp_extract(col(path), r"([^/]*)$", 1))
-    found = F.exists(
-        col(terms), lambda t: (F.length(t) >= 3) & (F.contains(base, t) | F.array_contains(tokens(base), t))
-    )
+def base_name(path: Column | str) -> Column:
+    return F.lower(F.regexp_extract(col(path), r"([^/]*)$", 1))
+
+
+def file_name_boost(terms: Column | str, base: Column | str, base_tokens: Column | str, boost: float) -> Column:
+    """The boost if a term of three letters or more is in the file's name or among the name's tokens."""
+    long = F.filter(col(terms), lambda t: F.length(t) >= 3)
+    found = F.arrays_overlap(long, col(base_tokens)) | F.exists(long, lambda t: F.contains(col(base), t))
     return F.when(found, F.lit(boost)).otherwise(0.0)
 
 

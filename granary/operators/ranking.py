@@ -75,7 +75,8 @@ def diversify(scored: DataFrame, config: Config, vectors: bool) -> DataFrame:
             if vectors
             else F.lit(False)
         )
-        return F.when((same_file >= config.max_per_file) | F.coalesce(close, F.lit(False)), taken).otherwise(F.concat(taken, F.array(x)))
+        full = F.size(taken) >= config.top_k  # what follows cannot change the rows already taken
+        return F.when(full | (same_file >= config.max_per_file) | F.coalesce(close, F.lit(False)), taken).otherwise(F.concat(taken, F.array(x)))
 
     chosen = F.slice(F.aggregate("rows", F.array().cast(kind), take), 1, config.top_k)
     ranks = lists.select("query_id", F.posexplode(chosen).alias("place", "x"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.bm25 import top
+from granary.plans.runtime import keep
 
 DIM = 384
 QUERY_BLOCK = 20_000_000  # numbers of query vectors that one scan takes along
@@ -52,8 +53,10 @@ def usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
 
 def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The stated queries in blocks of bounded size; a larger set means more scans."""
-    rows, most = [], max(1, QUERY_BLOCK // dim)
-    for row in queries.toLocalIterator():
+    most, queries = max(1, QUERY_BLOCK // dim), keep(queries)
+    few = queries.count() <= most
+    rows = []
+    for row in queries.collect() if few else queries.toLocalIterator():
         rows.append(row)
         if len(rows) == most:
             yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)

@@ -100,9 +100,10 @@ class RetrievalIndex:
         met = met.withColumn("same", same).withColumn("file_id", F.xxhash64("root", "path"))
         fresh = met.where(~F.col("blank") & ~F.col("same"))
         pieces = chunk_lines(fresh, "file_id", "text", c.chunk_target_lines, c.chunk_min_lines, c.chunk_overlap_lines)
-        new_chunks = pieces.withColumn("chunk_id", F.xxhash64("file_id", "ord")).withColumn("tokens", T.tokens("text"))
-        vectors = self.embed(new_chunks.select("chunk_id", "tokens"), "chunk_id", "tokens")
-        new_chunks = new_chunks.join(vectors, "chunk_id").select("chunk_id", "file_id", "ord", "start_line", "end_line", "text", "tokens", "vec")
+        new_chunks = pieces.withColumn("chunk_id", F.xxhash64("file_id", "ord"))
+        analysed = bm25.analyse_chunks(new_chunks).select("chunk_id", "tokens")
+        vectors = self.embed(analysed, "chunk_id", "tokens")
+        new_chunks = new_chunks.join(analysed, "chunk_id").join(vectors, "chunk_id").select("chunk_id", "file_id", "ord", "start_line", "end_line", "text", "tokens", "vec")
         at = f"staged-{uuid.uuid4().hex}"
         new_chunks.write.parquet(f"{self.path}/{at}")
         staged = self.spark.read.schema(CHUNKS).parquet(f"{self.path}/{at}")

@@ -60,5 +60,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table of the data folder.
+
+    A table stored in fewer pieces than there are cores is spread over them first; that
+    is a shuffle of a few megabytes. Larger tables are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -31,18 +31,21 @@ def candidates(queries: DataFrame, chunks: DataFrame, files: DataFrame, config:
     lexical = bm25.top(bm25.score(able, analysed), n)
     close = None
     if semantic:
-        q = embed(able.select("query_id", T.tokens("query").alias("tokens")), "query_id", "tokens")
+        words = bm25.analyse_chunks(able.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")))
+        q = embed(words.withColumnRenamed("chunk_id", "query_id"), "query_id", "tokens")
         v = embed(analysed, "chunk_id", "tokens")
         close = vector.top_cosines(q, v, n, vector.DIM, "query_id", "chunk_id")
     fused = ranking.fuse(lexical, close, config.rrf_k, n)
     texts = chunks.select("chunk_id", "file_id", "text", "start_line", "end_line").join(analysed.select("chunk_id", "tokens"), "chunk_id")
-    paths = files.select("file_id", "path").dropDuplicates(["file_id"])
+    paths = files.select("file_id", "path", T.base_name("path").alias("base")).dropDuplicates(["file_id"])
+    named = bm25.analyse_chunks(paths.select(F.col("file_id").alias("chunk_id"), F.col("base").alias("text")))
+    paths = paths.join(named.select(F.col("chunk_id").alias("file_id"), F.col("tokens").alias("base_tokens")), "file_id")
     rows = fused.join(texts, "chunk_id").join(paths, "file_id").join(able.select("query_id", "content", "ids"), "query_id")
     evidence = rows.select(
         "query_id", "chunk_id", "path", "start_line", "end_line", "text", "rrf", "fused_pos", "cosine", "tokens",
         T.token_coverage("content", "tokens").alias("coverage"),
         T.identifier_hits("ids", F.coalesce("text", F.lit(""))).alias("identifier_hits"),
-        T.file_name_boost("content", "path", config.file_name_boost).alias("file_boost"),
+        T.file_name_boost("content", "base", "base_tokens", config.file_name_boost).alias("file_boost"),
     )
     return asked, evidence
 

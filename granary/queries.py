@@ -45,7 +45,8 @@ def tok_parts(spark, d):
 
 
 def tok_stream(spark, d):
-    return _chunks(spark, d).where("text is not null").select("chunk_id", F.array_join(T.tokens("text"), JOINED).alias("tokens"))
+    analysed = bm25.analyse_chunks(_chunks(spark, d).where("text is not null"))
+    return analysed.select("chunk_id", F.array_join("tokens", JOINED).alias("tokens"))
 
 
 def stem_terms(spark, d):
@@ -140,7 +141,7 @@ def vector_topn(spark, d):
 
 def hash_embedding(spark, d):
     """T13 as rows: each chunk's buckets that are not zero."""
-    words = _chunks(spark, d).select("chunk_id", F.explode(T.tokens("text")).alias("t"))
+    words = bm25.analyse_chunks(_chunks(spark, d)).select("chunk_id", F.explode("tokens").alias("t"))
     sums = words.groupBy("chunk_id", T.hash_bucket("t").alias("bucket")).agg(F.sum(T.hash_sign("t")).alias("s"))
     length = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("chunk_id")))
     return sums.withColumn("value", F.round(F.col("s") / length, 6)).where("s <> 0").select("chunk_id", "bucket", "value")
