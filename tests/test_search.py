@@ -34,7 +34,7 @@ QUESTIONS = [
     (2, "what does verifyStripeWebhook do with STRIPE_WEBHOOK_SECRET?"),
     (3, "how long do session tokens last?"),
     (4, "how do I roll back a deployment?"),
-    (5, "what is the best recipe for sourdough bread?"),
+    (5, "best sourdough bread recipe?"),
     (6, "quantum entanglement experiments in superconducting qubits"),
     (7, ""),
     (8, None),
