@@ -21,7 +21,7 @@ SPECIAL_NAMES = (
 ).split()
 EXCLUDED_DIRS = (
     "node_modules .git .svn .hg dist build out coverage .next .nuxt .cache .turbo .vercel .venv venv env "
-    "__pycache__ .pytest_cache .mypy_cache target vendor bin obj .idea .vscode .DS_Store tmp temp logs .kimi-code"
+    "__pycache__ .pytest_cache .mypy_cache target vendor bin obj .idea .vscode .DS_Store tmp temp logs"
 ).split()
 
 
