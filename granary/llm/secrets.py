@@ -86,7 +86,7 @@ _DUMMY = re.compile(
     r"|^[a-z\s_-]*\b_?(?:example|placeholder|insert|dummy|fake|sample|replace|todo|fixme|tbd|to[\s_-]be)(?![a-z])[a-z\s_-]*$|<[^>]*>|%[A-Z_]+%|\{\{.*\}\}|\$\{|\$\(|^\$[A-Za-z_]|^%\w|^@\w+@$|\{[A-Za-z_][\w.]*\}"
     r"|^(?:null|none|nil|true|false|undefined|required|optional|n/?a|empty|unset|string|changed|password|secret|token|hidden|masked|value|xxx+|env)$"
     r"|^(.)\1+$|^[x*.\-_•#]+$|ENC\[|^enc:|^AQICAH|^vault:|^\{cipher\}|^\$(?:2[abxy]?|5|6|argon2\w*|pbkdf2[\w-]*|scrypt)\$|^(?:sha\d+|md5|pbkdf2|bcrypt|argon2)[-:$]"
-    r"|^(?:op|ref|ssm|secretsmanager|file|env|arn|projects)[:/]|^/(?:run|etc|var|secrets|mnt|home|opt)/|^\.{0,2}/\w+/)",
+    r"|^(?:op|ref|ssm|secretsmanager|file|env|arn|projects)[:/]|^/(?:run|etc|var|secrets|mnt|home|opt)/|^\.{0,2}/(?-i:[a-z][a-z_.\-]*)/)",
     re.I,
 )
 _REFERENCE = re.compile(
