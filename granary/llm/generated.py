@@ -224,7 +224,8 @@ def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     for depth in range(1, deepest + 1):  # roots to leaves
         total = cut(_judged(levels[depth], total.withColumnRenamed("dir", "up"), "b", "t", "root", "up", "dir").drop("up"))
         beliefs = beliefs.unionByName(total)
-    judged = _judged(leaves, beliefs.withColumnRenamed("dir", "up"), "e", "s", "root", "up", "f")
+    # a filter on the label must not be pushed into the sums above: it would repeat them for every use of a belief
+    judged = cut(_judged(leaves, beliefs.withColumnRenamed("dir", "up"), "e", "s", "root", "up", "f"))
     best = F.greatest(*_each("s"))
     label = F.coalesce(*(F.when(x == best, F.lit(name)) for x, name in zip(_each("s"), LABELS)))
     weight = sum((F.exp(x - best) for x in _each("s")), F.lit(0.0))
