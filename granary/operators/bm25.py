@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.plans.runtime import keep
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+ASKED_BOUND = 2_000_000  # pairs of query and term that one scan takes along
+LIST_ROWS, QUERY_ROWS = 4000, 1000  # a block of scores in a task: 32 MB
 
 
 _WORD = re.compile(T.WORD)
@@ -102,13 +106,8 @@ def _phrase_postings(phrases: DataFrame, analysed: DataFrame) -> DataFrame:
     return starts.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def score(queries: DataFrame, analysed: DataFrame, post: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, bm25): every chunk with a content term of the query; higher is better.
-
-    A term with underscores is a phrase of its parts. Terms in at least half of all chunks
-    weigh next to nothing. Chunks without text count in the statistics. Both joins are on
-    the term; the only thing broadcast is one row of totals.
-    """
+def _weighed(queries: DataFrame, analysed: DataFrame, post: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, key) of what is asked for, and (key, chunk_id, part) of what chunks score for it."""
     post = postings(analysed) if post is None else post
     asked = queries.select("query_id", F.explode("content").alias("term"))
     parts = F.filter(F.split("term", "_+"), lambda p: p != "")
@@ -120,6 +119,7 @@ def score(queries: DataFrame, analysed: DataFrame, post: DataFrame | None = None
     found = found.join(wanted, "key", "left_semi").unionByName(
         _phrase_postings(phrases, analysed).select(F.concat(F.lit("_"), "term").alias("key"), "chunk_id", "tf")
     )
+    found = keep(found)  # read for the document frequencies and again for the weights
     asked = simple.unionByName(asked.where(F.size("parts") > 1).select("query_id", F.concat(F.lit("_"), "term").alias("key")))
     df = found.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     dl = lengths(analysed)
@@ -129,9 +129,88 @@ def score(queries: DataFrame, analysed: DataFrame, post: DataFrame | None = None
     tf = F.col("tf").cast("double")
     part = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = found.join(df, "key").join(dl, "chunk_id").crossJoin(F.broadcast(totals)).select("key", "chunk_id", part.alias("part"))
+    return asked, weighed
+
+
+def score(queries: DataFrame, analysed: DataFrame, post: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, bm25): every chunk with a content term of the query; higher is better.
+
+    A term with underscores is a phrase of its parts. Terms in at least half of all chunks
+    weigh next to nothing. Chunks without text count in the statistics. Both joins are on
+    the term; the only thing broadcast is one row of totals.
+    """
+    asked, weighed = _weighed(queries, analysed, post)
     return asked.join(weighed, "key").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"))
 
 
+def _best_of_lists(shared, n: int):
+    """Scores of all queries for lists (chunk_id, keys, parts); a task hands on only what may be among the n best."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms = shared.value
+        ids = np.array(ids, np.int64)
+        floor = np.zeros(len(ids))  # the n-th best of a single block so far, for each query
+        for batch in batches:
+            for at in range(0, batch.num_rows, LIST_ROWS):
+                part = batch.slice(at, LIST_ROWS)
+                own = part.column("chunk_id").to_numpy(zero_copy_only=False)
+                lists = part.column("keys")
+                words = lists.flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(own)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                worth = part.column("parts").flatten().to_numpy(zero_copy_only=False)
+                code = words.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                row, worth = row[order], worth[order]
+                ends = np.cumsum(np.bincount(code, minlength=len(words.dictionary)))
+                entries = [(terms.get(w), e) for w, e in zip(words.dictionary.to_pylist(), ends)]
+                for first in range(0, len(ids), QUERY_ROWS):
+                    last = min(first + QUERY_ROWS, len(ids))
+                    s, start = np.zeros((last - first, len(own))), 0
+                    for asked, end in entries:
+                        if asked is not None:
+                            lo, hi = np.searchsorted(asked[0], (first, last))
+                            if lo < hi:
+                                s[asked[0][lo:hi, None] - first, row[None, start:end]] += asked[1][lo:hi, None] * worth[None, start:end]
+                        start = end
+                    if len(own) > n:
+                        kth = np.partition(s, len(own) - n, axis=1)[:, len(own) - n]
+                        floor[first:last] = np.maximum(floor[first:last], kth)
+                    # what ties with the n-th after rounding stays for the window to decide
+                    i, j = np.nonzero((s > 0) & (s >= floor[first:last, None] - 2e-9))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[first + i]), pa.array(own[j]), pa.array(s[i, j])], names=["query_id", "chunk_id", "bm25"]
+                    )
+
+    return best
+
+
+def top_scores(queries: DataFrame, analysed: DataFrame, n: int, post: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, bm25, pos): the ``n`` best chunks of each query; ties by chunk id.
+
+    Up to ``ASKED_BOUND`` pairs of query and term, which is checked, travel to the tasks:
+    the lists of wanted terms are gathered by chunk once, and every task keeps only what
+    may be among its n best, so the grid of queries and chunks is never shuffled. More
+    pairs take the joins of ``score``; the rows are the same.
+    """
+    asked, weighed = _weighed(queries, analysed, post)
+    asked = keep(asked.groupBy(F.col("query_id").cast("bigint").alias("query_id"), "key").agg(F.count(F.lit(1)).alias("times")))
+    if asked.count() > ASKED_BOUND:
+        part = F.col("part") * F.col("times")
+        return top(asked.join(weighed, "key").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25")), n)
+    rows = asked.orderBy("key", "query_id").collect()
+    ids = sorted({r.query_id for r in rows})
+    place = {q: i for i, q in enumerate(ids)}
+    terms: dict[str, tuple[list, list]] = {}
+    for r in rows:
+        at, times = terms.setdefault(r.key, ([], []))
+        at.append(place[r.query_id])
+        times.append(float(r.times))
+    shared = queries.sparkSession.sparkContext.broadcast((ids, {k: (np.array(a), np.array(t)) for k, (a, t) in terms.items()}))
+    pairs = F.sort_array(F.collect_list(F.struct("key", "part")))
+    lists = weighed.groupBy("chunk_id").agg(pairs.alias("x")).select("chunk_id", F.col("x.key").alias("keys"), F.col("x.part").alias("parts"))
+    return top(lists.mapInArrow(_best_of_lists(shared, n), "query_id bigint, chunk_id bigint, bm25 double"), n)
+
+
 def top(scored: DataFrame, n: int, value: str = "bm25") -> DataFrame:
     """Adds ``pos`` from 1 and keeps the first ``n`` of each query; ties by chunk id."""
     w = Window.partitionBy("query_id").orderBy(F.round(value, 9).desc(), "chunk_id")

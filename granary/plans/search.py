@@ -22,13 +22,16 @@ class Searched:
     status: DataFrame
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, files: DataFrame, config: Config, semantic: bool, embed: vector.Embedder = vector.hash_embed) -> tuple[DataFrame, DataFrame]:
-    """(analysed queries, candidates with evidence): J1, J5, J6, F11, T8-T10; text joins last, for candidates only."""
+def candidates(queries: DataFrame, chunks: DataFrame, files: DataFrame, config: Config, semantic: bool, embed: vector.Embedder = vector.hash_embed) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(analysed queries, candidates with evidence, analysed chunks): J1, J5, J6, F11, T8-T10.
+
+    Texts and tokens are looked at for candidates only and not handed on.
+    """
     analysed = keep(bm25.analyse_chunks(chunks))
     asked = keep(bm25.analyse_queries(queries))
     able = asked.where("size(content) + size(ids) > 0")  # F7
     n = config.candidates
-    lexical = bm25.top(bm25.score(able, analysed), n)
+    lexical = bm25.top_scores(able, analysed, n)
     close = None
     if semantic:
         words = bm25.analyse_chunks(able.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")))
@@ -42,12 +45,12 @@ def candidates(queries: DataFrame, chunks: DataFrame, files: DataFrame, config:
     paths = paths.join(named.select(F.col("chunk_id").alias("file_id"), F.col("tokens").alias("base_tokens")), "file_id")
     rows = fused.join(texts, "chunk_id").join(paths, "file_id").join(able.select("query_id", "content", "ids"), "query_id")
     evidence = rows.select(
-        "query_id", "chunk_id", "path", "start_line", "end_line", "text", "rrf", "fused_pos", "cosine", "tokens",
+        "query_id", "chunk_id", "path", "start_line", "end_line", "rrf", "fused_pos", "cosine",
         T.token_coverage("content", "tokens").alias("coverage"),
         T.identifier_hits("ids", F.coalesce("text", F.lit(""))).alias("identifier_hits"),
         T.file_name_boost("content", "base", "base_tokens", config.file_name_boost).alias("file_boost"),
     )
-    return asked, evidence
+    return asked, evidence, analysed
 
 
 def search(queries: DataFrame, chunks: DataFrame, files: DataFrame, config: Config | None = None, semantic: bool = True, embed: vector.Embedder = vector.hash_embed) -> Searched:
@@ -59,16 +62,16 @@ def search(queries: DataFrame, chunks: DataFrame, files: DataFrame, config: Conf
     no-candidates, gated-out.
     """
     config = config or Config()
-    asked, evidence = candidates(queries, chunks, files, config, semantic, embed)
+    asked, evidence, analysed = candidates(queries, chunks, files, config, semantic, embed)
     evidence = keep(evidence)
     gated = evidence.where(ranking.gate(config))
     scored = ranking.cutoff(gated.withColumn("score", ranking.score(config)), config.relative_threshold)
     ranked = scored
     if semantic:
-        distinct = scored.select("chunk_id", "tokens").dropDuplicates(["chunk_id"])
+        distinct = analysed.select("chunk_id", "tokens").join(scored.select("chunk_id").distinct(), "chunk_id", "left_semi")
         ranked = scored.join(embed(distinct, "chunk_id", "tokens"), "chunk_id")
     chosen = ranking.diversify(ranked, config, vectors=semantic)
-    results = scored.drop("tokens").join(chosen, ["query_id", "chunk_id"])
+    results = scored.join(chosen, ["query_id", "chunk_id"]).join(chunks.select("chunk_id", "text"), "chunk_id")
     counts = evidence.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_candidates"), F.count_if(ranking.gate(config)).alias("n_gated")
     )

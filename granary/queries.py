@@ -113,7 +113,7 @@ def doc_len(spark, d):
 
 def _lexical(queries: DataFrame, spark, d, n: int) -> DataFrame:
     analysed = keep(bm25.analyse_chunks(_chunks(spark, d)))
-    return bm25.top(bm25.score(keep(bm25.analyse_queries(queries)), analysed), n)
+    return bm25.top_scores(keep(bm25.analyse_queries(queries)), analysed, n)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
