@@ -156,3 +156,21 @@ def test_extraction():
     got = extract.html_to_markdown("<html><head><title>t</title></head><h2>A  b</h2><p>x <b>y</b></p><pre>c\n d</pre><ul><li>one</li><li>two</li></ul>")
     assert got.startswith("## A b") and "**y**" in got and "```\nc\n d\n```" in got and "*   one\n*   two" in got
     assert extract.html_to_markdown(None) is None and extract.docx_text(b"no zip") is None
+
+
+def test_best_scores_are_the_top_of_all_scores_either_way(spark, monkeypatch):
+    words = "apple pear plum fig kiwi lime date sloe".split()
+    texts = [(i, i, " ".join(words[j] for j in range(8) if (i * 7 + j * j) % (j + 2) == 0) + " half_done" * (i % 3 == 0)) for i in range(60)]
+    chunks = spark.createDataFrame([*texts, (90, 90, None), (91, 91, "")], "chunk_id long, file_id long, text string")
+    asked = [(1, "plum fig"), (2, "half_done kiwi kiwi"), (3, ""), (4, None), (5, "apple pear lime date"), (5, "apple pear lime date")]
+    queries = bm25.analyse_queries(spark.createDataFrame(asked, "query_id long, query string"))
+    analysed = bm25.analyse_chunks(chunks)
+    rows = lambda df: sorted((r.query_id, r.pos, r.chunk_id, round(r.bm25, 9)) for r in df.collect())
+    expected = rows(bm25.top(bm25.score(queries, analysed), 4))
+    assert len(expected) == 12
+    monkeypatch.setattr(bm25, "LIST_ROWS", 7)
+    monkeypatch.setattr(bm25, "QUERY_ROWS", 2)
+    assert rows(bm25.top_scores(queries, analysed, 4)) == expected
+    monkeypatch.setattr(bm25, "ASKED_BOUND", 0)
+    assert rows(bm25.top_scores(queries, analysed, 4)) == expected
+    assert bm25.top_scores(queries.where("false"), analysed, 4).count() == 0
