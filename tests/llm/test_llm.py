@@ -192,3 +192,10 @@ def test_reading_levels_follow_the_grades(spark):
     assert got == {i: 1 if i % 2 else 4 for i in range(40)}
     assert reading.reading_levels(d.where("false"), g).count() == 0
     assert reading.reading_levels(d, g.where("false")).count() == 40
+
+
+def test_values_led_by_a_slash_are_paths_only_in_lower_case_words():
+    found = lambda line: secrets.Scanner().spans(line, "a/.env.production")
+    value = "/FDBXhH9BKg84UVmcstl9z/q7Yd3X8i2tBcS/1s5"
+    assert found(f"SECRET_KEY={value}") == [(1, 11, 11 + len(value))]
+    assert not any(map(found, ("SECRET_KEY=/run/schema/journal", "SECRET_KEY=./conf/key.pem", "SECRET_KEY=/srv/keys/app")))
