@@ -83,3 +83,38 @@ def chunk_lines(df: DataFrame, id_col: str, text_col: str = "text", target: int
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInPandas(cut, "id bigint, ord int, start_line int, end_line int, text string")
     return out.withColumnRenamed("id", id_col)
+
+
+def _common_run(before: list[str], after: list[str]) -> int:
+    """How many lines, at most, both end ``before`` and begin ``after``; in time linear in the lines."""
+    fallback, k = [0] * len(after), 0
+    for i in range(1, len(after)):
+        while k and after[i] != after[k]:
+            k = fallback[k - 1]
+        k += after[i] == after[k]
+        fallback[i] = k
+    k = 0
+    for line in before[-len(after) :]:
+        while k and (k == len(after) or line != after[k]):
+            k = fallback[k - 1]
+        k += line == after[k]
+    return k
+
+
+def joined(texts: list[str]) -> str:
+    """The text that consecutive chunks were cut from: each pair overlaps in its longest common run of lines.
+
+    A chunk of a text with \\r\\n line ends has lost the \\r of its last line, so lines are compared without.
+    """
+    out: list[str] = []
+    bare: list[str] = []
+    for text in texts:
+        lines = text.split("\n")
+        plain = [line.removesuffix("\r") for line in lines]
+        k = _common_run(bare, plain) if out else 0
+        if out and not k and len(out) > 1 and out[-2].endswith("\r") and not out[-1].endswith("\r"):
+            out[-1] += "\r"
+        del out[len(out) - k :], bare[len(bare) - k :]
+        out += lines
+        bare += plain
+    return "\n".join(out)

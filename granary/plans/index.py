@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.config import Config, dump_config, load_config
 from granary.functions import text as T
 from granary.operators import bm25, vector
-from granary.operators.chunking import chunk_lines
+from granary.operators.chunking import chunk_lines, joined
 from granary.plans import search as searching
 
 FILES = "file_id bigint, root string, path string, mtime double, size bigint, hash string, chunk_count int"
@@ -184,3 +187,43 @@ def store_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
 def term_statistics(chunks: DataFrame) -> DataFrame:
     """(term, df, cf) of the index's terms."""
     return bm25.postings(bm25.analyse_chunks(chunks)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+LINE_ENDS = 64  # line ends tried after a text whose stored size says nothing
+
+
+def _hashed(text: str, wanted: str, size: int | None) -> bool:
+    """Whether a text, or the text and the line ends that chunks leave out at its end, has a hash."""
+    data = text.encode()
+    for end in (b"\n", b"\r\n"):
+        so_far = hashlib.sha1(data)
+        for _ in range(max((size or 0) - len(data), LINE_ENDS) + 1):
+            if so_far.hexdigest() == wanted:
+                return True
+            so_far.update(end)
+    return False
+
+
+def unchanged(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of ``files`` (file_id, hash, size, ...) whose hash is that of the text their chunks make up.
+
+    Chunks of one ``ord`` count once; where their texts differ, the first rows and the last
+    ones are tried. A hash cannot match by chance, so a file found is unchanged.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for file_id, wanted, size, pieces in zip(*(batch.column(c).to_pylist() for c in ("file_id", "hash", "size", "pieces"))):
+                last = {x["ord"]: x["text"] for x in pieces}
+                first = {x["ord"]: x["text"] for x in reversed(pieces)}
+                tries = [last] if first == last else [last, first]
+                if any(_hashed(joined([x[o] for o in sorted(x)]), wanted, size) for x in tries):
+                    same.append(file_id)
+            yield pa.RecordBatch.from_arrays([pa.array(same, pa.int64())], names=["file_id"])
+
+    piece = F.struct(F.coalesce("ord", F.lit(-1)).alias("ord"), "chunk_id", "text")
+    held = chunks.where("text is not null").groupBy("file_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    known = files.where("hash is not null").select("file_id", F.lower("hash").alias("hash"), F.col("size").cast("bigint").alias("size"))
+    same = held.join(known, "file_id").select("file_id", "hash", "size", "pieces").mapInArrow(compare, "file_id bigint")
+    return files.join(same.distinct(), "file_id", "left_semi")

@@ -69,11 +69,9 @@ def content_hash(spark, d):
 
 
 def unchanged_files(spark, d):
-    """Files of one chunk whose stored hash is that of the chunk's text."""
-    own = table(prepare(spark), d, "files").select("file_id", "root_id", "path", "hash")
-    seen = _chunks(spark, d).where("text is not null").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
-    seen = seen.where("n = 1").select("file_id", T.content_hash("text").alias("hash"))
-    return own.join(seen, ["file_id", "hash"]).select("file_id", "root_id", "path")
+    """Files whose stored hash is that of the text their chunks make up; the SQL knows those of one chunk only."""
+    own = table(prepare(spark), d, "files").select("file_id", "root_id", "path", "hash", "size")
+    return index.unchanged(own, _chunks(spark, d)).select("file_id", "root_id", "path")
 
 
 def missing_files(spark, d):

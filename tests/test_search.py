@@ -174,3 +174,32 @@ def test_best_scores_are_the_top_of_all_scores_either_way(spark, monkeypatch):
     monkeypatch.setattr(bm25, "ASKED_BOUND", 0)
     assert rows(bm25.top_scores(queries, analysed, 4)) == expected
     assert bm25.top_scores(queries.where("false"), analysed, 4).count() == 0
+
+
+def test_unchanged_files_are_rebuilt_from_all_their_chunks(spark):
+    import hashlib
+
+    from granary.operators.chunking import chunk_text
+    from granary.plans.index import unchanged
+
+    body = "".join(f"line {i % 7} {i // 3}\n" for i in range(300))
+    whole = {1: "one\ntwo", 2: "one\ntwo\n", 3: body, 4: body.rstrip("\n"), 5: body.replace("\n", "\r\n"), 6: body + "\n\n\n", 7: body, 8: body, 9: "x\r\ny\r\n", 10: body}
+    rows = [(100 * i + k, i, k, t.removesuffix("\r")) for i, text in whole.items() for k, (t, _, _) in enumerate(chunk_text(text))]
+    rows += [(9000 + i, f, o, t) for i, f, o, t in rows if f in (1, 3)]  # delivered again
+    rows = [r for r in rows if r[:3] != (801, 8, 1)]  # a chunk is missing
+    rows = [(i, f, o, t.replace("line 3", "line 4") if f == 7 else t) for i, f, o, t in rows]  # the text is another one
+    digest = {i: hashlib.sha1(t.encode()).hexdigest() for i, t in whole.items()} | {10: None}
+    f = spark.createDataFrame([(i, digest[i], 0 if i == 3 else len(t)) for i, t in whole.items()], "file_id long, hash string, size long")
+    c = spark.createDataFrame([*rows, (1, 77, 0, "x"), (2, 3, 9, None)], "chunk_id long, file_id long, ord int, text string")
+    assert {r.file_id for r in unchanged(f, c).collect()} == {1, 2, 3, 4, 5, 6, 9}
+
+
+def test_joined_chunks_overlap_as_brute_force_says():
+    import random
+
+    from granary.operators.chunking import _common_run
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ([rng.choice("xy") for _ in range(rng.randint(1, 9))] for _ in "ab")
+        assert _common_run(a, b) == max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
