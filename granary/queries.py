@@ -220,8 +220,8 @@ def chunk_break_points(spark, d):
 
 
 def html_to_markdown(spark, d):
-    docs = table(prepare(spark), d, "documents").where(F.col("text").rlike("(?i)^\\s*<(?:!doctype|html|h[1-6]|p|div)\\b"))
-    return docs.select("doc_id", extract.to_markdown(F.col("text")).alias("markdown"))
+    docs = table(prepare(spark), d, "documents").where(extract.is_html("text"))
+    return docs.select("doc_id", extract.to_markdown(T.trimmed("text")).alias("markdown"))
 
 
 def ext_filter(spark, d):

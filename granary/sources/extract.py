@@ -13,6 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.text import BLANK, col
+
+# Fixed value: the elements of HTML, obsolete ones included.
+ELEMENTS = (
+    "html|head|body|title|base|link|meta|style|script|noscript|template|slot|address|article|aside|footer|header|h[1-6]|hgroup|main|nav"
+    "|section|search|blockquote|dd|div|dl|dt|figcaption|figure|hr|li|menu|ol|p|pre|ul|a|abbr|acronym|b|bdi|bdo|big|br|cite|code|data|dfn|em"
+    "|font|i|kbd|mark|nobr|q|rp|rt|ruby|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr|area|audio|img|map|track|video|embed"
+    "|iframe|frame|frameset|noframes|object|param|picture|source|svg|math|canvas|applet|del|ins|caption|col|colgroup|table|tbody|td|tfoot"
+    "|th|thead|tr|button|datalist|fieldset|form|input|label|legend|meter|optgroup|option|output|progress|select|textarea|details|dialog"
+    "|summary|center|dir|marquee"
+)
+# comments and an XML declaration may stand before the first element
+_HTML = f"(?i)^[{BLANK}]*(?:<(?:!--(?s:.*?)--|\\?(?s:.*?)\\?)>[{BLANK}]*)*+<(?:!doctype[{BLANK}]+html|(?:{ELEMENTS})(?=[{BLANK}/>]))"
 _SKIPPED = {"script", "style", "head", "noscript"}
 _BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "header", "footer", "main", "body"}
 _MARKS = {"strong": "**", "b": "**", "em": "_", "i": "_"}
@@ -111,6 +124,11 @@ def docx_text(content: bytes | None) -> str | None:
     return "".join(line + "\n\n" for line in lines) or None
 
 
+def is_html(text: Column | str) -> Column:
+    """Whether a text is an HTML document or a piece of one: it opens with a doctype or an element."""
+    return col(text).rlike(_HTML)
+
+
 def to_markdown(text: Column) -> Column:
     @F.pandas_udf("string")
     def convert(texts: pd.Series) -> pd.Series:

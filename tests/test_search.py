@@ -203,3 +203,18 @@ def test_joined_chunks_overlap_as_brute_force_says():
     for _ in range(2000):
         a, b = ([rng.choice("xy") for _ in range(rng.randint(1, 9))] for _ in "ab")
         assert _common_run(a, b) == max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
+
+
+def test_html_is_known_by_any_element_at_its_start(spark):
+    opened = ["<html>", "\ufeff<html>", "\u00a0\ufeff\n<!DOCTYPE html>", "<body>", "<head>", "<section>", "<article class='x'>", "<ul>", "<table\nid=a>", "<!-- a\n> b -->\n<p>", "<?xml version='1.0'?>\n<!DOCTYPE HTML>", "<H2>", "<br/>"]
+    other = ["<|endoftext|>", "<project>", "<T>", "<path d=''>", "# a\n<p>", "a < b", "<!-- only a remark -->\n# Title", "", None, "<people>", "<p-card>", "<?xml version='1.0'?><rss>"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(opened + other)], "doc_id long, text string")
+    assert {r.doc_id for r in rows.where(extract.is_html("text")).collect()} == set(range(len(opened)))
+
+
+def test_html_query_keeps_documents_led_by_a_byte_order_mark(spark, tmp_path):
+    from granary import queries
+
+    rows = [(1, "\ufeff<html><body><h1>A</h1><p>b</p></body></html>"), (2, "<ul><li>x</li></ul>"), (3, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in queries.html_to_markdown(spark, str(tmp_path)).collect()} == {(1, "# A\n\nb"), (2, "*   x")}
