@@ -55,6 +55,14 @@ NOT_CODE = (
     r"|(?:^|/)(?:id_rsa|id_ed25519|id_ecdsa|id_dsa)[^/]*$|(?:^|/)(?:locales?|i18n|lang|translations)/|(?:^|/)\.env[^/]*$"
 )
 LONG_LINE = 200
+# Closed comments and blank lines, one after the other; an opening mark that then follows is never closed in the text.
+_CLOSED = r"(?:\s++|\uFEFF|/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'{3}.*?'{3}|(?://|#|--|;|\*)[^\n]*+)*+"
+_OPENING, _CLOSING = r"(?:/\*|<!--|\"\"\"|'{3})", r"(?:\*/|-->|\"\"\"|'{3})"
+LEADS = (  # the leading comments of a text that starts outside a comment, and of one that starts inside
+    rf"(?s)\A{_CLOSED}(?:{_OPENING}.*)?",
+    rf"(?s)\A(?:(?!{_CLOSING}).)*+(?:\z|{_CLOSING}{_CLOSED}(?:{_OPENING}.*)?)",
+)
+STAYS_OPEN = (rf"(?s)\A{_CLOSED}{_OPENING}", rf"(?s)\A(?:(?!{_CLOSING}).)*+(?:\z|{_CLOSING}{_CLOSED}{_OPENING})")
 
 
 def _each(name: str) -> list[Column]:
@@ -63,11 +71,26 @@ def _each(name: str) -> list[Column]:
 
 
 def _text_evidence(chunks: DataFrame) -> DataFrame:
-    """(f, sums over all texts of a file, what the head of its first text says)."""
+    """(f, sums over all texts of a file, where its texts say what it is)."""
     t = F.col("text")
     lines = F.regexp_replace(t, r"(?m)^.{0,%d}$" % (LONG_LINE - 1), "")  # what stays are the long lines
     kept = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-    head = lambda says: t.rlike(r"(?is)\A(?:[^\n]*\n){0,14}?" + COMMENT + r"[^\n]{0,200}?(?:" + says + ")")
+    line = r"(?im)^" + COMMENT + r"[^\n]*?(?:{})"
+    in_head = r"(?is)\A(?:[^\n]*\n){{0,14}}?" + COMMENT + r"[^\n]*?(?:{})"
+    to_end = r"[^\n]*+(?:\n(?:[ \t\r]*+(?=\n|\z)|(?:" + COMMENT + r"|[ \t]*+-->)[^\n]*+))*+\s*\z"
+    # of a leading block comment every line speaks, of a leading docstring only what its first line says
+    in_lead = r"(?im)^(?:" + COMMENT + r"|[ \t]*+(?!\"\"\"|'{{3}}))[^\n]*?(?:{})"
+    docstrings = lambda x: F.regexp_replace(x, r"(?s)(\"\"\"|'{3})([^\n]*+)\n.*?(?:\1|\z)", "$1$2\n")
+    both = lambda x, pattern: F.array(*(x.rlike(pattern.format(says)) for says in (SAYS_GENERATED, SAYS_VENDORED)))
+    leads = [F.regexp_extract(t, lead, 0) for lead in LEADS]
+    marks = F.struct(
+        both(t, in_head).alias("head"),
+        F.array(*(both(docstrings(x), in_lead) for x in leads)).alias("lead"),  # by whether the text starts inside a comment
+        F.array(*(F.length(x) == F.length(t) for x in leads)).alias("whole"),
+        F.array(*(t.rlike(x) for x in STAYS_OPEN)).alias("open"),
+        both(t, line + to_end).alias("tail"),
+        both(t, line).alias("any"),
+    )
     place = F.struct(F.coalesce("ord", F.lit(1 << 30)), "chunk_id")
     per_chunk = chunks.select(
         "f",
@@ -86,16 +109,39 @@ def _text_evidence(chunks: DataFrame) -> DataFrame:
             - F.length(F.regexp_replace(lines, r"[A-Za-z0-9+/=\\]{160,}+", ""))
         ).alias("blob_chars"),
         kept(r"(?mi)^[ \t]*(?:insert into \S+ (?:\([^)\n]*\) )?values[^\n]*|\([^\n]*\)[,;])$").alias("insert_chars"),
-        F.concat(*(head(says).cast("int").cast("string") for says in (SAYS_GENERATED, SAYS_VENDORED))).alias("says"),
+        marks.alias("marks"),
         t.rlike(SAYS_BUNDLED).cast("int").alias("bundled"),
         t.contains("-----BEGIN ").cast("int").alias("armoured"),
     )
-    return per_chunk.groupBy("f").agg(
+    per_file = per_chunk.groupBy("f").agg(
         *(F.sum(c).alias(c) for c in ("chars", "long_chars", "long_spaces", "long_marks", "blob_chars", "insert_chars")),
-        F.min_by("says", "place").alias("says"),
+        F.array_sort(F.collect_list(F.struct("place", "marks"))).alias("marked"),
         F.max("bundled").alias("bundled"),
         F.max("armoured").alias("armoured"),
     )
+    return per_file.withColumn("says", _spoken_for(F.col("marked.marks"))).drop("marked")
+
+
+def _spoken_for(marks: Column) -> Column:
+    """Where a file's texts, in their order, hold markers: struct of (start, end, anywhere), each an array by kind."""
+    either = lambda a, b: F.zip_with(a, b, lambda x, y: x | y)
+    none = F.array(F.lit(False), F.lit(False))
+
+    def step(so_far: Column, x: Column) -> Column:
+        inside = F.when(so_far["open"], 1).otherwise(0)
+        leading = so_far["leading"]
+        return F.struct(
+            F.when(leading, either(so_far["start"], F.element_at(x["lead"], inside + 1))).otherwise(so_far["start"]).alias("start"),
+            F.when(F.element_at(x["whole"], inside + 1), either(so_far["end"], x["tail"])).otherwise(x["tail"]).alias("end"),
+            either(so_far["anywhere"], x["any"]).alias("anywhere"),
+            (leading & F.element_at(x["whole"], inside + 1)).alias("leading"),
+            (leading & F.element_at(x["whole"], inside + 1) & F.element_at(x["open"], inside + 1)).alias("open"),
+        )
+
+    begun = F.struct(
+        F.element_at(marks, 1)["head"].alias("start"), none.alias("end"), none.alias("anywhere"), F.lit(True).alias("leading"), F.lit(False).alias("open")
+    )
+    return F.aggregate(marks, begun, step)
 
 
 def _file_evidence(files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -109,14 +155,20 @@ def _file_evidence(files: DataFrame, texts: DataFrame) -> DataFrame:
     minified = (share("long_chars") > 0.3) & (F.col("long_spaces") / long_chars < 0.08) & (F.col("long_marks") / long_chars > 0.12)
     blob = (share("blob_chars") > 0.6) & (F.coalesce("armoured", F.lit(0)) == 0)  # keys and certificates are no data
     dump = share("insert_chars") > 0.7
-    says_generated, says_vendored = F.col("says").substr(1, 1) == "1", F.col("says").substr(2, 1) == "1"
+    at = lambda where, kind: F.col("says")[where][kind]
+    only_end = lambda kind: at("end", kind) & ~at("start", kind)
+    only_within = lambda kind: at("anywhere", kind) & ~at("start", kind) & ~at("end", kind)
     not_code = F.col("p").rlike(NOT_CODE) & ~base.rlike(GENERATED_NAMES)
     signs = [  # condition, and what it adds to each label's log-likelihood
         (base.rlike(GENERATED_NAMES), (0, 14, 0, 0, 0)),
         (base.rlike(MINIFIED_NAMES), (0, 6, 17, 0, 0)),
         (base.rlike(BLOB_NAMES), (0, 0, 0, 0, 10)),
-        (says_generated, (0, 14, 0, 0, 0)),
-        (says_vendored, (0, 0, 0, 14, 0)),
+        (at("start", 0), (0, 14, 0, 0, 0)),
+        (at("start", 1), (0, 0, 0, 14, 0)),
+        (only_end(0), (0, 11, 0, 0, 0)),
+        (only_end(1), (0, 0, 0, 11, 0)),
+        (only_within(0), (0, 3, 0, 0, 0)),
+        (only_within(1), (0, 0, 0, 2, 0)),
         (minified, (0, 2, 16, 2, 0)),
         (minified & (F.col("bundled") == 1), (0, 0, 1, 0, 0)),
         (blob, (0, 0, 0, 0, 15)),

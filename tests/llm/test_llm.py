@@ -199,3 +199,25 @@ def test_values_led_by_a_slash_are_paths_only_in_lower_case_words():
     value = "/FDBXhH9BKg84UVmcstl9z/q7Yd3X8i2tBcS/1s5"
     assert found(f"SECRET_KEY={value}") == [(1, 11, 11 + len(value))]
     assert not any(map(found, ("SECRET_KEY=/run/schema/journal", "SECRET_KEY=./conf/key.pem", "SECRET_KEY=/srv/keys/app")))
+
+
+def test_markers_count_wherever_they_stand_in_a_file(spark):
+    hand = "def f(x):\n    return x + 1\n" * 5
+    licence = "".join(f"// line {i} of the licence\n" for i in range(200))
+    mark = "// Code generated by z. DO NOT EDIT.\n"
+    cases = {
+        1: [licence[:2000] + "\n" + mark + "package a\n" + hand],  # after a long licence
+        2: [licence[: licence.index("// line 90")], licence[licence.index("// line 82") :] + mark + hand],  # which fills the first chunk
+        3: ["/*\n" + "words of a licence\n" * 90, "words of a licence\nCode generated by z. DO NOT EDIT.\n*/\n" + hand],  # without marks
+        4: [hand, hand + mark + "\n"],  # at the end
+        5: ["//" + " " * 300 + mark[3:] + hand],
+        6: [hand, 'T = """\n' + mark + '"""\n' + hand, hand],  # a template in code that people wrote
+        7: ['"""Writes files.\n\nThey are generated by this tool.\n"""\n' + hand],
+        8: [hand, hand],
+        9: ["x = 1\n" * 40 + "/* a\n", mark[3:] + "*/\n" + hand],
+    }
+    f = spark.createDataFrame([(i, i, f"a/src/x{i}.go") for i in cases], "file_id long, root_id long, path string")
+    rows = [(10 * i + k, i, k, t) for i, texts in cases.items() for k, t in enumerate(texts)]
+    c = spark.createDataFrame(rows, "chunk_id long, file_id long, ord int, text string")
+    got = {r.file_id: r.label for r in generated.label_files(f, c).collect()}
+    assert got == {i: "generated" if i <= 5 else "handwritten" for i in cases}
