@@ -27,7 +27,6 @@ KEYWORDS = (
     "bearer ", "basic ", "_auth", "key=", "accountkey", "account_key", "sharedaccess", "://", "private key", "akia", "asia",
     "aiza", "xoxa-", "xoxb-", "xoxp-", "xoxo-", "xoxe-", "xoxr-", "xoxs-", "sg.", "eyj", "glpat-", "npm_", "sk_live_",
     "rk_live_", "pk_live_", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "pypi-", "hf_", "sk-", "client(",
-    "ls0tls1crudjti", "qutjq", "z2hw", "c2tfbgl2zv",
 )
 
 # Formats in which issuers hand out keys and tokens.
@@ -97,6 +96,9 @@ _SETTINGS = re.compile(r"(?:^|[/\\])(?:\.env[\w.\-]*|\.npmrc|\.netrc|_netrc|\.pg
 _PLAIN = re.compile(r"^[A-Za-z_]+$|^[a-z]+(?:[-_ ][a-z]+)*$|^\d{1,5}$")
 
 
+_LAYOUT = str.maketrans("", "", "\r\n\t")  # characters of a text in several lines; as printable as others
+
+
 def is_dummy(value: str) -> bool:
     """Empty, masked, to be filled in, a reference, encrypted, or hashed."""
     v = value.strip()
@@ -112,7 +114,8 @@ def _decoded(value: str) -> str | None:
         text = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True).decode("utf-8")
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return None
-    return text if text and text.isprintable() else None
+    text = text.rstrip("\r\n")
+    return text if text and text.translate(_LAYOUT).isprintable() else None
 
 
 def _structured(token: str) -> bool:
@@ -185,7 +188,8 @@ class Scanner:
         base = (path or "").replace("\\", "/").rsplit("/", 1)[-1].lower()
         pgpass = "pgpass" in base
         candidates = self._candidates(low)
-        if not pgpass and not candidates:
+        encoded = _B64.search(text) is not None
+        if not pgpass and not candidates and not encoded:
             return []
         lines = text.split("\n")
         settings = bool(_SETTINGS.search(path or ""))
@@ -206,6 +210,8 @@ class Scanner:
             if i not in in_key and len(line) >= 6:
                 self._line(i, line, settings, manifest, hit)
                 self._next_lines(i, lines, hit)
+        if encoded:
+            self._encoded(text, in_key, hit)
         return sorted({(i + 1, s, e) for i, each in found.items() for s, e in each})
 
     def _key_lines(self, lines: list[str], hit) -> set[int]:
@@ -291,10 +297,24 @@ class Scanner:
                 if _named(m["n"]) and _valid(m["v"], False) and not _REFERENCE.match(m["v"]):
                     hit(i, *m.span("v"))
         self._assignments(i, line, settings, manifest, hit)
-        for m in _B64.finditer(line):
+
+    def _encoded(self, text: str, in_key: set[int], hit) -> None:
+        """Encoded values anywhere in a text, whatever stands around them."""
+        line = start = 0
+        for m in _B64.finditer(text):
             inner = _decoded(m[0])
-            if inner and (any(map(_structured, ISSUED.findall(inner))) or _BEGIN.search(inner) or self._inner_secret(inner)):
-                hit(i, *m.span())
+            if not inner:
+                continue
+            line += text.count("\n", start, m.start())
+            start = m.start()
+            if line not in in_key and self._holds_secret(inner):
+                before = text.rfind("\n", 0, start) + 1
+                hit(line, start - before, m.end() - before)
+
+    def _holds_secret(self, inner: str) -> bool:
+        if any(map(_structured, ISSUED.findall(inner))) or _BEGIN.search(inner) or self._inner_secret(inner):
+            return True
+        return bool(self.spans(inner, ".env"))  # settings in several lines, JSON, URLs, headers, encoded once more
 
     @staticmethod
     def _just_words(value: str) -> bool:
