@@ -359,32 +359,54 @@ class Scanner:
 
     def _next_lines(self, i: int, lines: list[str], hit) -> None:
         """A value on a line after its name: brackets, folded scalars, name and value pairs."""
+        indent = lambda line: len(line) - len(line.lstrip())
         said = _SAID_NAME.search(lines[i])
         if said and _named(said[1]):
-            for j in range(i + 1, min(i + 3, len(lines))):
+            item = re.match(r"\s*(?:-\s+)*", lines[i]).end()  # where the keys of the name's item stand
+            for j in range(i + 1, len(lines)):
+                bare = lines[j].strip()
+                if bare and (indent(lines[j]) < item or bare[0] in "}]" or (indent(lines[j]) == item and (bare[0] == "-" or _SAID_NAME.match(bare.lstrip("'\""))))):
+                    break
                 m = _SAID_VALUE.match(lines[j].rstrip("\r"))
                 if m:
                     value = _bare(m["rest"]).strip("'\"")
-                    if _valid(value, True) and not _PLAIN.match(value):
+                    if re.fullmatch(r"[|>]\d?[-+]?\d?", value):
+                        self._folded(j, lines, hit)
+                    elif _valid(value, True) and not _PLAIN.match(value):
                         at = lines[j].find(value)
                         hit(j, at, at + len(value))
                     return
         opened = _HELD_OPEN.search(re.sub(r"\s+(?:#|//).*$", "", lines[i].rstrip("\r")))
         if not opened or not _named(opened[1].rsplit(".", 1)[-1]) or not re.search(r"[(\\|>\[]\s*[-+]?\s*\\?$|\"\"\"$|'''$", lines[i].rstrip("\r ")):
             return
-        for j in range(i + 1, min(i + 12, len(lines))):
+        self._folded(i, lines, hit)
+
+    def _folded(self, i: int, lines: list[str], hit) -> None:
+        """The lines of a value opened at the end of line ``i``, up to the first that is no part of it."""
+        head = lines[i].rstrip("\r ")
+        scalar = re.search(r":\s*[|>]\d?[-+]?\d?$", head) is not None
+        mark = head[-3:] if head.endswith(('"""', "'''")) else None
+        key = re.match(r"\s*(?:-\s+)*", head).end()
+        for j in range(i + 1, len(lines)):
             line = lines[j].strip()
-            if not line or line[0] in ")]}" or re.match(r"[A-Za-z_][\w.\-]*\s*[:=]", line):
+            if not line or line[0] in ")]}" or re.match(r"[A-Za-z_][\w.\-]*\s*[:=](?!=*$)", line):
                 return
+            if scalar and len(lines[j]) - len(lines[j].lstrip()) <= key - (key > 0 and head.lstrip()[0] == "-"):
+                return
+            last = mark is not None and mark in line
+            if last:
+                line = line[: line.index(mark)].strip()
+                if not line:
+                    return
             value = line.rstrip(",;\\").strip().strip("+.&").strip()
-            quoted = re.fullmatch(r"\(?(['\"])((?:\\.|(?!\1).)*)\1\)?", value)
+            quoted = re.fullmatch(r"\(?(['\"])((?:\\.|(?!\1).)*)\1[)\]]?", value)
             value = quoted[2] if quoted else value
             if " " in value or is_dummy(value + "000000") or (not quoted and (_PLAIN.match(value) or _REFERENCE.match(value))):
                 return
             at = lines[j].find(value)
             hit(j, at, at + len(value))
-            if lines[i].rstrip("\r ").endswith(("|", ">", "-", "+")) and not quoted:
-                continue
+            if last or (not scalar and line.rstrip(",;")[-1:] in ")]") or (head.endswith("\\") and not re.search(r"[\\+.&(,]$", line)):
+                return
 
 
 def blank(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -245,3 +245,18 @@ def test_encoded_secrets_are_found_whatever_their_layout():
     assert lines(f"Authorization: Basic {code('app:zivanoSito77_' + chr(10))}") == {1}
     for text in ["-----BEGIN CERTIFICATE-----\nMIIEvQIBADANBgkq\n-----END CERTIFICATE-----\n", "USER=app\nPASSWORD=changeme\n", "one line\nand another one\n"]:
         assert lines(f"first\nblob {code(text)}\nlast") == set(), text
+
+
+def test_folded_secrets_are_followed_to_their_end():
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=40)) for _ in range(30)]
+    lines = lambda text, path="a/s.yaml": {line for line, _, _ in secrets.Scanner().spans(text, path)}
+    after = "\nother: abcdEfgh12345678\n"
+    assert lines("x: 1\ncredentials: |\n" + "".join(f"  {p}\n" for p in parts) + "after1234567890") == set(range(3, 33))
+    assert lines("credentials: |\n" + "\n".join(f"  {p}" for p in parts[:-1]) + "\n  last=\n" + after.strip()) == set(range(2, 32))
+    assert lines("PASSWORD = (\n" + "\n".join(f'    "{p}"' for p in parts) + '\n)\nzone("a1b2c3d4e5f6")', "a/s.py") == set(range(2, 32))
+    assert lines('PASSWORD = """\n' + "\n".join(parts) + '\n"""\nabcdEfgh12345678\n', "a/s.py") == set(range(2, 32))
+    env = "env:\n  - name: DB_PASSWORD\n    description: for the store\n    type: text\n    scope: all\n{}    value: {}\n  - name: OTHER\n    value: Yk29fQpz81Lm\n"
+    assert lines(env.format("", "Xk29fQpz81Lm")) == {6}
+    assert lines(env.format("    labels:\n      - a\n      - b\n", "Xk29fQpz81Lm")) == {9}
+    assert lines("env:\n  - name: DB_PASSWORD\n    optional: true\n  - label: x\n    value: Yk29fQpz81Lm\n") == set()
