@@ -3,6 +3,7 @@
 Every vector is projected by several random rotations, shifted, and placed on a
 Hilbert curve; each ordering is range-partitioned and sorted by Spark, and every
 window of consecutive keys is compared with itself and its two neighbouring windows.
+Vectors in one cell of the curve are ordered by a second curve inside the cell.
 The windows' candidates carry exact cosines, so merging the orderings is a top-k.
 
 Equal vectors would share one key in every ordering, so a group of copies takes part
@@ -71,17 +72,17 @@ def _curve_keys(dim: int, orderings: int, projected: int, bits: int):
             if not batch.num_rows:
                 continue
             unit = _unit(_vectors(batch.column("vec"), dim))
-            out = np.empty((len(unit), orderings), np.int64)
+            out, fine = (np.empty((len(unit), orderings), np.int64) for _ in "ab")
             for j, (q, shift) in enumerate(turns):
                 # a unit vector's projection spreads by 1/sqrt(dim); four of that span the grid
                 spread = unit @ q * (np.sqrt(dim) / 4) + 0.5 + (shift - 0.5) / 8
-                out[:, j] = hilbert_keys(np.clip(spread * side, 0, side - 1).astype(np.uint32), bits)
-            flat = pa.array(out.ravel())
+                place = spread * side
+                out[:, j] = hilbert_keys(np.clip(place, 0, side - 1).astype(np.uint32), bits)
+                inside = np.minimum((place - np.floor(place)) * side, side - 1)
+                fine[:, j] = hilbert_keys(inside.astype(np.uint32), bits)
             offsets = pa.array(np.arange(0, out.size + 1, orderings, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("vec"), pa.ListArray.from_arrays(offsets, flat)],
-                names=["rep", "vec", "keys"],
-            )
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (out, fine)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vec"), *lists], names=["rep", "vec", "keys", "fine"])
 
     return keys
 
@@ -183,11 +184,14 @@ def nearest_vectors(
     classes = usable.groupBy(x.alias("vec")).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
     keyed = classes.select("rep", "vec").mapInArrow(
-        _curve_keys(dim, orderings, projected, bits), "rep bigint, vec array<float>, keys array<bigint>"
+        _curve_keys(dim, orderings, projected, bits), "rep bigint, vec array<float>, keys array<bigint>, fine array<bigint>"
     )
-    placed = keyed.select("rep", "vec", F.posexplode("keys").alias("ordering", "key"))
+    placed = keyed.select("rep", "vec", F.posexplode(F.arrays_zip("keys", "fine")).alias("ordering", "at"))
+    placed = placed.select("rep", "vec", "ordering", F.col("at.keys").alias("key"), F.col("at.fine").alias("fine"))
+    # nearly equal vectors share a cell in every ordering; the place inside the cell keeps each ordering's own neighbours
     # equal keys of many different vectors may be cut anywhere, so the id is part of the range key
-    sorted_ = placed.repartitionByRange("ordering", "key", "rep").sortWithinPartitions("ordering", "key", "rep")
+    order = ("ordering", "key", "fine", "rep")
+    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     found = (
         sorted_.select("rep", "ordering", "vec")
         .mapInArrow(_window_search(dim, window, k, min_similarity), "rep bigint, other bigint, similarity double")

@@ -260,3 +260,14 @@ def test_folded_secrets_are_followed_to_their_end():
     assert lines(env.format("", "Xk29fQpz81Lm")) == {6}
     assert lines(env.format("    labels:\n      - a\n      - b\n", "Xk29fQpz81Lm")) == {9}
     assert lines("env:\n  - name: DB_PASSWORD\n    optional: true\n  - label: x\n    value: Yk29fQpz81Lm\n") == set()
+
+
+def test_neighbours_within_a_cluster_of_several_windows(spark):
+    rng = np.random.default_rng(7)
+    centre = np.ones(8) / np.sqrt(8)
+    v = {i: (centre + rng.normal(0, 0.01, 8)).astype(np.float32).tolist() for i in range(600)}  # all within a cell or two
+    v |= {1000 + i: rng.standard_normal(8).astype(np.float32).tolist() for i in range(60)}
+    df = spark.createDataFrame([*v.items()], "chunk_id long, vec array<float>").repartition(3)
+    got = neighbors.nearest_vectors(df, k=5, dim=8, projected=4, bits=4, window=32).collect()
+    true = {(a, b) for a, b, _ in brute_neighbours(v, 5) if a < 1000}
+    assert len({(r.id, r.other) for r in got} & true) >= 0.9 * len(true)
