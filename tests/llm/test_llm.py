@@ -271,3 +271,13 @@ def test_neighbours_within_a_cluster_of_several_windows(spark):
     got = neighbors.nearest_vectors(df, k=5, dim=8, projected=4, bits=4, window=32).collect()
     true = {(a, b) for a, b, _ in brute_neighbours(v, 5) if a < 1000}
     assert len({(r.id, r.other) for r in got} & true) >= 0.9 * len(true)
+
+
+def test_words_of_short_documents_count_for_the_ranks(spark):
+    long = "The cat and the dog see the map. " * 14
+    docs = [(1, long)] + [(10 + i, "You must not open the zeppelin or the zeppelin. ") for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.coverage_rank for r in reading.document_features(d).collect()}
+    # the: 242, zeppelin 200, you, must, not, open, or 100 each; cat, and, dog, see, map 14 each from rank 8 on
+    assert got == {1: 8}
+    assert {r.coverage_rank for r in reading.document_features(d.where("doc_id = 1")).collect()} == {2}
