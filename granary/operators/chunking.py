@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import BLANK, col
+from granary.functions.text import BLANK, BLANK_CHARS, col
 
 # Fixed value: what a line that starts a construct looks like.
 CONSTRUCT = (
@@ -32,8 +32,11 @@ def is_break(line: Column | str, before: Column | str) -> Column:
 
 def break_points(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, line_no): all break lines of each text, counted from 0; trailing blank lines are dropped first."""
-    kept = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"(?:\\n[{BLANK.replace(chr(92) + 'n', '')}]*)+$", "")
-    lines = df.select(F.col(id_col), F.posexplode(F.split(kept, "\n")).alias("line_no", "line"))
+    text = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = text.withColumn("_size", F.length(F.rtrim("text", F.lit(BLANK_CHARS))))
+    rest = F.regexp_extract(F.expr("substring(text, _size + 1)"), r"\A[^\n]*+", 0)  # blanks at the end of the last line stay
+    kept = F.concat(F.expr("substring(text, 1, _size)"), rest)
+    lines = text.select(F.col(id_col), F.posexplode(F.split(kept, "\n")).alias("line_no", "line"))
     before = F.lag("line").over(Window.partitionBy(id_col).orderBy("line_no"))
     return lines.withColumn("before", before).where(is_break("line", "before")).select(id_col, "line_no")
 
