@@ -40,6 +40,13 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "chunk_id")
 
 
+def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Round trip: every oversized text from its pieces again, and whether all its pieces keep the limits."""
+    whole = splitting.rebuilt(splitting.split_oversized(table(prepare(spark), d, "chunks")))
+    within = (F.col("widest_lines") <= 80) & (F.col("longest_chars") <= 6000)
+    return whole.select(F.col("id").alias("chunk_id"), "hash", "chars", "lines", within.alias("within"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.all_pairs(*near_duplicates.near_duplicates(table(prepare(spark), d, "chunks")))
 
@@ -77,7 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_neighbours, p2_found, p2_redacted, p3_found, p3_pieces, p4_found, p4_groups,
+        p1_found, p1_neighbours, p2_found, p2_redacted, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_groups,
         p5_found, p5_labels, p6_ids, p7_found, p8_found,
     )
 }
@@ -99,6 +106,14 @@ SQL = {
         where length(text) > 6000
            or (length(kept) > 0 and length(kept) - length(replace(kept, chr(10), '')) + 1 > 80)
     """,
+    "p3_rebuilt": f"""
+        with t as (select chunk_id, text, regexp_replace(text, '{_WS}', '') as kept from chunks)
+        select chunk_id, sha1(text) as hash, length(text)::int as chars,
+               (length(text) - length(replace(text, chr(10), '')) + case when text like '%' || chr(10) then 0 else 1 end)::int as lines, true as within
+        from t
+        where length(text) > 6000
+           or (length(kept) > 0 and length(kept) - length(replace(kept, chr(10), '')) + 1 > 80)
+    """,
     "p4_found": """
         with w as (select chunk_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+')] as w
                    from chunks where text is not null),

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import BLANK_CHARS
+
 # The white space of the blank-line rule, NBSP and U+FEFF included.
 WS = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 _WS = re.compile("[" + WS.replace("\\x0B", "\\v") + "]*")
@@ -29,10 +31,13 @@ BLANK_BEFORE, CONSTRUCT, LINE_END, PUNCTUATION, SPACE = 5, 4, 3, 2, 1
 
 
 def is_oversized(text, max_lines: int = 80, max_chars: int = 6000):
-    """Column: more than ``max_chars`` code points, or lines once trailing blank ones are dropped."""
-    kept = F.regexp_replace(text, f"[{WS}]+$", "")
-    lines = F.length(kept) - F.length(F.replace(kept, F.lit("\n"), F.lit(""))) + 1
-    return (F.length(text) > max_chars) | ((F.length(kept) > 0) & (lines > max_lines))
+    """Column: more than ``max_chars`` code points, or lines once trailing blank ones are dropped.
+
+    Only texts with more line ends than ``max_lines`` allow are trimmed; all steps are linear.
+    """
+    ends = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    kept = F.rtrim(text, F.lit(BLANK_CHARS))
+    return (F.length(text) > max_chars) | ((ends(text) >= max_lines) & (ends(kept) >= max_lines))
 
 
 class BoundaryIndex:
@@ -138,9 +143,9 @@ def split_oversized(
     overlap: int = 8,
     min_lines: int = 25,
 ) -> DataFrame:
-    """(id, piece, start_line, end_line, piece_text) of every item beyond a limit.
+    """(id, piece, start_line, end_line, start_char, piece_text) of every item beyond a limit.
 
-    Lines are those of the stored text, counted from 1, whatever the row's own line
+    ``start_char`` is the piece's offset in the text, in code points from 0. Lines are those of the stored text, counted from 1, whatever the row's own line
     columns say; a text within both limits, empty or null gives no row. Repeated rows
     give repeated pieces, a null id is kept, and other columns are ignored. Texts are
     cut where they lie: there is no shuffle.
@@ -149,15 +154,38 @@ def split_oversized(
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [
-                (i, number, first, last, text[start:end])
+                (i, number, first, last, start, text[start:end])
                 for i, text in zip(frame["id"], frame["text"])
                 for number, (start, end, first, last) in enumerate(split_text(text, max_lines, max_chars, overlap, min_lines))
             ]
-            out = pd.DataFrame(rows, columns=["id", "piece", "start_line", "end_line", "piece_text"])
+            out = pd.DataFrame(rows, columns=["id", "piece", "start_line", "end_line", "start_char", "piece_text"])
             out["id"] = out["id"].astype("Int64")
             yield out
 
     items = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return items.where(is_oversized(F.col("text"), max_lines, max_chars)).mapInPandas(
-        cut, "id bigint, piece int, start_line int, end_line int, piece_text string"
+        cut, "id bigint, piece int, start_line int, end_line int, start_char int, piece_text string"
+    )
+
+
+def rebuilt(pieces: DataFrame) -> DataFrame:
+    """(id, hash, chars, lines, widest_lines, longest_chars) of split items, put together again from their pieces.
+
+    Each piece gives what the ones before it have not covered. One item's pieces meet in a
+    group, as they do in the item itself. Repeated rows of a piece count once.
+    """
+    spans = pieces.withColumn("stop_char", F.col("start_char") + F.length("piece_text")).dropDuplicates(["id", "piece"])
+    before = Window.partitionBy("id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("seen", F.coalesce(F.max("stop_char").over(before), F.lit(0)))
+    fresh = F.expr("substring(piece_text, seen - start_char + 1)")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", fresh.alias("t")))), lambda x: x["t"]), "")
+    return (
+        spans.groupBy("id")
+        .agg(
+            whole.alias("whole"),
+            F.max(F.col("end_line") - F.col("start_line") + 1).alias("widest_lines"),
+            F.max(F.length("piece_text")).alias("longest_chars"),
+            F.max("end_line").alias("lines"),
+        )
+        .select("id", F.sha1(F.encode("whole", "UTF-8")).alias("hash"), F.length("whole").alias("chars"), "lines", "widest_lines", "longest_chars")
     )
