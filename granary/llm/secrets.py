@@ -4,6 +4,9 @@ A keyword automaton (credential words and issuers' prefixes) picks the lines wor
 look; issuer formats, assignments to credential names, URLs, headers, key blocks and
 encoded values are matched there; the structure of each value is validated, and what
 stands is replaced by a placeholder of the same length and alphabet.
+
+Texts are scanned where they lie. Only what depends on the kind of file (unquoted values of
+settings, lines of a password file) waits for its path, and only those few rows are joined.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import base64
 import binascii
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,13 +75,16 @@ _REMARK = re.compile(r"\s*(?:#|//|--|/?\*|;|<!--)")
 _REMARKED = re.compile(r"(?P<n>[A-Za-z_][\w.\-]*)\s*[:=]\s*['\"]?(?P<v>[^\s'\",;]{8,})")
 _USER = re.compile(r"(?:^|\s)(?:-u|--user)[ =]['\"]?[^\s:'\"]+:(?P<v>[^\s'\"]+)")
 _NETRC = re.compile(r"(?:^|\s)password\s+(?P<v>\S+)")
-_PGPASS = re.compile(r"^[^\s:#]+:(?:\d+|\*):[^\s:]+:[^\s:]+:(?P<v>\S+)$")
+_PGPASS = re.compile(r"^[^\s:#]+:(?:\d+|\*):[^\s:]+:[^\s:]+:(?P<v>\S+?)\r?$", re.M)
 _HELD_OPEN = re.compile(r"([A-Za-z_][\w.\-]*)['\"]?\]?\s*(?:=>|:?=|:)\s*(?:\(|\\|[|>][-+]?|\[|\"\"\"|''')?\s*\\?$")
 _SAID_NAME = re.compile(r"\bname['\"]?\s*:\s*['\"]?([A-Za-z_][\w.\-]*)")
 _SAID_VALUE = re.compile(r"^\s*['\"]?value['\"]?\s*:\s*(?P<rest>\S.*)$")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_KEY_LINE = re.compile(r"^\W*[A-Za-z0-9+/]{16,}={0,2}\W*$|^\W*[A-Za-z0-9+/]{1,76}={0,2}\W*$|^[\s#/*'\"+]*(?:Proc-Type|DEK-Info|Comment).*$")
+_KEY_LINE = re.compile(r"^\W*[A-Za-z0-9+/]{16,}={0,2}(?:\\[nr])*\W*$|^\W*[A-Za-z0-9+/]{1,76}={0,2}(?:\\[nr])*\W*$|^[\s#/*'\"+]*(?:Proc-Type|DEK-Info|Comment).*$")
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_KEY_REST = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/= ])*")
+_KEY_HEADER = re.compile(r"[\s#/*'\"+]*(?:Proc-Type|DEK-Info|Comment)")
 _CLIENT = re.compile(r"\bClient\(\s*(['\"])[^'\"]*\1\s*,\s*(['\"])(?P<v>[^'\"]+)\2")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/_=\-])")
 _DUMMY = re.compile(
@@ -97,12 +104,23 @@ _PLAIN = re.compile(r"^[A-Za-z_]+$|^[a-z]+(?:[-_ ][a-z]+)*$|^\d{1,5}$")
 
 
 _LAYOUT = str.maketrans("", "", "\r\n\t")  # characters of a text in several lines; as printable as others
+# What a placeholder leaves as it is: escape sequences, percent codes and character references.
+_CODES = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|.)|%[0-9A-Fa-f]{2}|&(?:#\d+|#x[0-9A-Fa-f]+|amp|lt|gt|quot|apos|nbsp);")
+_MASK = re.compile(r"[^A-Za-z1-9]*[xX0](?:[xX0]|[^A-Za-z1-9])*")
+_HEX = re.compile(r"(?=[^a-fA-F]*[a-fA-F])(?=[^0-9]*[0-9])(?:0[xX])?(?:[0-9a-f][\-:]?){16,}|(?:0[xX])?(?:[0-9A-F][\-:]?){16,}")
+ALWAYS, IN_SETTINGS, IN_PASSWORD_FILE = 0, 1, 2  # what a span needs to know of its file
+FILES_BOUND = 500_000  # rows of paths that are broadcast, counted first; more are shuffled
+
+
+def is_masked(value: str) -> bool:
+    """Of all letters and digits only x, X and 0 are left: what ``blank`` puts in place of a credential."""
+    return _MASK.fullmatch(_CODES.sub("", value)) is not None
 
 
 def is_dummy(value: str) -> bool:
     """Empty, masked, to be filled in, a reference, encrypted, or hashed."""
     v = value.strip()
-    return len(v) < 6 or bool(_DUMMY.search(v))
+    return not v or bool(_DUMMY.search(v)) or is_masked(v)
 
 
 def _decoded(value: str) -> str | None:
@@ -118,9 +136,28 @@ def _decoded(value: str) -> str | None:
     return text if text and text.translate(_LAYOUT).isprintable() else None
 
 
-def _structured(token: str) -> bool:
-    """Whether an issued-looking token holds together: a JWT's header must be JSON; no EXAMPLE keys."""
-    if re.search(r"EXAMPLE|(.)\1{7}", token):
+# Tokens of a prefix and 36 characters, of which the last six are a checksum of the others; its digits.
+_CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})")
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_holds(token: str) -> bool:
+    """Whether the CRC32 that some issuers put at a token's end is right; true for tokens that carry none."""
+    m = _CHECKED.fullmatch(token)
+    if not m:
+        return True
+    rest, digits = zlib.crc32(m[1].encode()), ""
+    for _ in range(6):
+        rest, digit = divmod(rest, 62)
+        digits = _DIGITS[digit] + digits
+    return digits == m[2]
+
+
+def _structured(token: str, checksums: bool = False) -> bool:
+    """Whether an issued-looking token holds together: a JWT's header must be JSON; no EXAMPLE keys, no masks."""
+    if re.search(r"EXAMPLE|(.)\1{7}", token) or is_masked(token):
+        return False
+    if checksums and not checksum_holds(token):
         return False
     if token.startswith("eyJ"):
         head = token.split(".")[0]
@@ -153,11 +190,16 @@ def _bare(rest: str) -> str:
 
 
 class Scanner:
-    """Finds the credential spans of one text; compiled once by a worker."""
+    """Finds the credential spans of one text; compiled once by a worker.
+
+    With ``checksums`` issued tokens whose own checksum fails are no credentials by their
+    format alone; a credential's name before them still makes them one.
+    """
 
-    def __init__(self):
+    def __init__(self, checksums: bool = False):
         import ahocorasick
 
+        self.checksums = checksums
         self.automaton = ahocorasick.Automaton()
         for word in KEYWORDS:
             self.automaton.add_word(word, len(word))
@@ -182,47 +224,65 @@ class Scanner:
 
     def spans(self, text: str | None, path: str | None = None) -> list[tuple[int, int, int]]:
         """(line, start, end) of every credential part, columns within the line, lines from 1."""
+        fits = {ALWAYS}
+        if path and _SETTINGS.search(path):
+            fits.add(IN_SETTINGS)
+        if "pgpass" in (path or "").replace("\\", "/").rsplit("/", 1)[-1].lower():
+            fits.add(IN_PASSWORD_FILE)
+        return [span[:3] for span in self.conditional_spans(text) if span[3] in fits]
+
+    def conditional_spans(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(line, start, end, need) of every span that is a credential part in some kind of file."""
         if not text:
             return []
         low = text.lower()
-        base = (path or "").replace("\\", "/").rsplit("/", 1)[-1].lower()
-        pgpass = "pgpass" in base
         candidates = self._candidates(low)
         encoded = _B64.search(text) is not None
-        if not pgpass and not candidates and not encoded:
+        passwords = _PGPASS.search(text) is not None
+        if not passwords and not candidates and not encoded:
             return []
         lines = text.split("\n")
-        settings = bool(_SETTINGS.search(path or ""))
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: dict[tuple[int, int, int], int] = {}
 
-        def hit(i: int, start: int, end: int) -> None:
-            found.setdefault(i, []).append((start, end))
+        def hit(i: int, start: int, end: int, need: int = ALWAYS) -> None:
+            span = (i + 1, start, end)
+            found[span] = min(need, found.get(span, need))
 
         in_key = self._key_lines(lines, hit) if "private key" in low else set()
         manifest = "kind: secret" in low
-        if pgpass:
+        if passwords:
             for i, line in enumerate(lines):
-                m = _PGPASS.match(line.strip("\r"))
+                m = _PGPASS.match(line.rstrip("\r"))
                 if m and not is_dummy(m["v"]):
-                    hit(i, line.find(m["v"]), len(line.rstrip("\r")))
+                    hit(i, *m.span("v"), IN_PASSWORD_FILE)
         for i in candidates:
-            line = lines[i]
-            if i not in in_key and len(line) >= 6:
-                self._line(i, line, settings, manifest, hit)
+            if i not in in_key:
+                self._line(i, lines[i], manifest, hit)
                 self._next_lines(i, lines, hit)
         if encoded:
             self._encoded(text, in_key, hit)
-        return sorted({(i + 1, s, e) for i, each in found.items() for s, e in each})
+        return sorted((*span, need) for span, need in found.items())
 
     def _key_lines(self, lines: list[str], hit) -> set[int]:
-        """Private keys in several lines, also where a text starts or ends inside one."""
+        """Private keys in several lines, also where a text starts or ends inside one; the code around them is no part."""
         taken: set[int] = set()
 
         def take(i: int) -> None:
             taken.add(i)
-            stripped = lines[i].strip()
-            at = lines[i].find(stripped)
-            hit(i, at, at + len(stripped))
+            begin, end = _BEGIN.search(lines[i]), _END.search(lines[i])
+            body = max(_KEY_BODY.finditer(lines[i]), key=lambda m: m.end() - m.start(), default=None)
+            if begin and end:
+                hit(i, begin.start(), end.end())
+            elif begin:
+                hit(i, begin.start(), max(begin.end(), _KEY_REST.match(lines[i], begin.end()).end()))
+            elif end:
+                hit(i, min(end.start(), body.start() if body else end.start()), end.end())
+            elif body and not _KEY_HEADER.match(lines[i]):
+                hit(i, *body.span())
+            else:
+                stripped = lines[i].strip()
+                at = lines[i].find(stripped)
+                hit(i, at, at + len(stripped))
 
         for i, line in enumerate(lines):
             if i in taken:
@@ -252,9 +312,9 @@ class Scanner:
                         take(k)
         return taken
 
-    def _line(self, i: int, line: str, settings: bool, manifest: bool, hit) -> None:
+    def _line(self, i: int, line: str, manifest: bool, hit) -> None:
         for m in ISSUED.finditer(line):
-            if _structured(m[0]):
+            if _structured(m[0], self.checksums):
                 hit(i, *m.span())
         for m in _URL.finditer(line):
             if not is_dummy(m["p"]) and not _REFERENCE.match(m["p"]):
@@ -296,7 +356,7 @@ class Scanner:
             for m in _REMARKED.finditer(line):
                 if _named(m["n"]) and _valid(m["v"], False) and not _REFERENCE.match(m["v"]):
                     hit(i, *m.span("v"))
-        self._assignments(i, line, settings, manifest, hit)
+        self._assignments(i, line, manifest, hit)
 
     def _encoded(self, text: str, in_key: set[int], hit) -> None:
         """Encoded values anywhere in a text, whatever stands around them."""
@@ -312,7 +372,7 @@ class Scanner:
                 hit(line, start - before, m.end() - before)
 
     def _holds_secret(self, inner: str) -> bool:
-        if any(map(_structured, ISSUED.findall(inner))) or _BEGIN.search(inner) or self._inner_secret(inner):
+        if any(_structured(x, self.checksums) for x in ISSUED.findall(inner)) or _BEGIN.search(inner) or self._inner_secret(inner):
             return True
         return bool(self.spans(inner, ".env"))  # settings in several lines, JSON, URLs, headers, encoded once more
 
@@ -325,7 +385,7 @@ class Scanner:
         m = re.match(r"\s*[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*[:=]\s*(\S.*)$", inner)
         return bool(m) and _named(m[1]) and _valid(m[2], True)
 
-    def _assignments(self, i: int, line: str, settings: bool, manifest: bool, hit) -> None:
+    def _assignments(self, i: int, line: str, manifest: bool, hit) -> None:
         """name = value without quotes, in settings files, comments and manifests; joined literals."""
         body = re.sub(r"^\s*(?:export\s+|set\s+|[#;]+\s*|//+\s*|--\s+|\*\s*|-\s+)*(?:TODO\b[^:]*:\s*)?", "", line)
         at = len(line) - len(body)
@@ -353,9 +413,9 @@ class Scanner:
                 hit(i, at + m.start(2), at + m.start(2) + len(value))
             return
         tight = "=" in body[: m.start(2)] and not body[: m.start(2)].rstrip("= ").endswith(" ")
-        if settings or (remark and tight) or (tight and re.search(r"\d", value) and len(value) >= 8 and not _PLAIN.match(value)):
-            if not _PLAIN.match(value):
-                hit(i, at + m.start(2), at + m.start(2) + len(value))
+        anywhere = (remark and tight) or (tight and re.search(r"\d", value) and len(value) >= 8)
+        if not _PLAIN.match(value):
+            hit(i, at + m.start(2), at + m.start(2) + len(value), ALWAYS if anywhere else IN_SETTINGS)
 
     def _next_lines(self, i: int, lines: list[str], hit) -> None:
         """A value on a line after its name: brackets, folded scalars, name and value pairs."""
@@ -401,7 +461,7 @@ class Scanner:
             value = line.rstrip(",;\\").strip().strip("+.&").strip()
             quoted = re.fullmatch(r"\(?(['\"])((?:\\.|(?!\1).)*)\1[)\]]?", value)
             value = quoted[2] if quoted else value
-            if " " in value or is_dummy(value + "000000") or (not quoted and (_PLAIN.match(value) or _REFERENCE.match(value))):
+            if " " in value or is_dummy(value) or (not quoted and (_PLAIN.match(value) or _REFERENCE.match(value))):
                 return
             at = lines[j].find(value)
             hit(j, at, at + len(value))
@@ -409,65 +469,128 @@ class Scanner:
                 return
 
 
+def _filled(part: str) -> str:
+    fill = lambda c: "x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
+    return "".join(map(fill, part))
+
+
+def placeholder(value: str, quoted: bool = True) -> str:
+    """As long as the value and of its alphabet: x, X and 0 for letters and digits, 0 alone for hexadecimal values.
+
+    Escape sequences, percent codes and character references stay whole, so that strings and
+    URLs stay valid; a bare number stays a number. A value of signs alone becomes x.
+    """
+    if value.isdigit() and value.isascii() and not quoted:
+        return "1" * len(value)
+    if _HEX.fullmatch(value):
+        return value[:2].replace("X", "x") * value[:2].lower().startswith("0x") + re.sub("[0-9A-Fa-f]", "0", value[2 * value[:2].lower().startswith("0x") :])
+    out, at = [], 0
+    for m in _CODES.finditer(value):
+        out += [_filled(value[at : m.start()]), m[0]]
+        at = m.end()
+    new = "".join([*out, _filled(value[at:])])
+    return new if new != value or is_masked(value) else re.sub(r"[^\s\\'\"`]", "x", value)
+
+
 def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with every span's letters and digits replaced: same length, same alphabet."""
+    """The text with a placeholder for every span; spans that overlap are filled as one."""
     lines = text.split("\n")
-    for line, start, end in spans:
+    merged: list[list[int]] = []
+    for line, start, end in sorted(spans):
+        if merged and merged[-1][0] == line and start < merged[-1][2]:
+            merged[-1][2] = max(end, merged[-1][2])
+        else:
+            merged.append([line, start, end])
+    for line, start, end in merged:
         old = lines[line - 1]
-        marker = old[start:end]
-        if _BEGIN.search(marker) or _END.search(marker):
-            continue
-        new = "".join("x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else c for c in marker)
-        lines[line - 1] = old[:start] + new + old[end:]
+        lines[line - 1] = old[:start] + placeholder(old[start:end], old[start - 1 : start] in ("'", '"', "`")) + old[end:]
     return "\n".join(lines)
 
 
-def _with_paths(chunks: DataFrame, files: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    left = chunks.select(
+def _with_paths(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``path``, null where a file is not known; ``found`` has ``f``. Paths are broadcast only within a checked bound."""
+    paths = files.select(F.col("file_id").cast("bigint").alias("f"), F.col("path").cast("string").alias("path"))
+    paths = paths.where("f is not null").groupBy("f").agg(F.min("path").alias("path"))
+    few = files.count() <= FILES_BOUND
+    paths = paths.select(F.col("f").cast("string").alias("key"), "path")
+    # rows without a file have keys of their own, so that they do not meet in one task
+    key = F.coalesce(F.col("f").cast("string"), F.concat(F.lit("without "), F.coalesce(F.col("id"), F.lit(0)).cast("string")))
+    return found.withColumn("key", key).join(F.broadcast(paths) if few else paths, "key", "left").drop("key")
+
+
+def _fits(need, path):
+    """Column: whether a span that needs to know its file counts in the file of this path."""
+    base = F.lower(F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"([^/]*)$", 1))
+    held = (
+        F.when(need == ALWAYS, True)
+        .when(need == IN_SETTINGS, path.rlike("(?iU)" + _SETTINGS.pattern))
+        .otherwise(base.contains("pgpass"))
+    )
+    return F.coalesce(held, F.lit(False))
+
+
+def _rows(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return chunks.select(
         F.col(id_col).cast("bigint").alias("id"), F.col("file_id").cast("bigint").alias("f"), F.col(text_col).cast("string").alias("text")
     ).where("text is not null")
-    right = files.select(F.col("file_id").cast("bigint").alias("f"), F.col("path").cast("string").alias("path"))
-    right = right.where("f is not null").groupBy("f").agg(F.min("path").alias("path"))
-    return left.join(right, "f", "left")
 
 
-def secret_lines(chunks: DataFrame, files: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+def secret_lines(chunks: DataFrame, files: DataFrame, id_col: str = "chunk_id", text_col: str = "text", checksums: bool = False) -> DataFrame:
     """(id, line_no): every line of every chunk on which a credential or a part of one stands.
 
     ``files`` gives the paths; a chunk without a file is read without one. Null and
     empty texts give no row, repeated rows give one row, a null id is kept, whole texts
-    are read, other columns are ignored.
+    are read, other columns are ignored. With ``checksums`` tokens whose checksum fails
+    do not count by their format alone.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(checksums)
         for batch in batches:
-            ids, numbers = [], []
-            for i, text, path in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "path"))):
-                for number in {line for line, _, _ in scanner.spans(text, path)}:
-                    ids.append(i)
-                    numbers.append(number)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], names=["id", "line_no"])
+            rows = []
+            for i, f, text in zip(*(batch.column(c).to_pylist() for c in ("id", "f", "text"))):
+                needs: dict[int, int] = {}
+                for line, _, _, need in scanner.conditional_spans(text):
+                    needs[line] = min(need, needs.get(line, need))
+                rows += [(i, f, line, need) for line, need in needs.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "f", "line_no", "need"])
+
+    found = _rows(chunks, id_col, text_col).mapInArrow(scan, "id bigint, f bigint, line_no int, need int")
+    return _with_paths(found, files).where(_fits(F.col("need"), F.col("path"))).select("id", "line_no").distinct()
 
-    rows = _with_paths(chunks, files, id_col, text_col).select("id", "text", "path")
-    return rows.mapInArrow(scan, "id bigint, line_no int").distinct()
 
+def redacted(chunks: DataFrame, files: DataFrame, id_col: str = "chunk_id", text_col: str = "text", checksums: bool = False) -> DataFrame:
+    """(id, n_spans, redacted_text) of every chunk that holds a credential; its other text is unchanged.
 
-def redacted(chunks: DataFrame, files: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(id, n_spans, redacted_text) of every chunk that holds a credential; its other text is unchanged."""
+    Rows are taken as by ``secret_lines``; repeated rows give repeated rows. Only texts in
+    which something was found leave the scan.
+    """
+    span = "array<struct<line:int,start:int,stop:int,need:int>>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(checksums)
+        kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("line", "start", "stop", "need")]))
         for batch in batches:
             rows = []
-            for i, text, path in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "path"))):
-                spans = scanner.spans(text, path)
+            for i, f, text in zip(*(batch.column(c).to_pylist() for c in ("id", "f", "text"))):
+                spans = scanner.conditional_spans(text)
                 if spans:
-                    rows.append((i, len(spans), blank(text, spans)))
+                    rows.append((i, f, text, [dict(zip(("line", "start", "stop", "need"), s)) for s in spans]))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "f", "text", "spans"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans").to_pylist()
+            new = [blank(t, [(s["line"], s["start"], s["stop"]) for s in x]) for t, x in zip(batch.column("text").to_pylist(), spans)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())],
-                names=["id", "n_spans", "redacted_text"],
+                [batch.column("id"), pa.array(map(len, spans), pa.int32()), pa.array(new, pa.string())], names=["id", "n_spans", "redacted_text"]
             )
 
-    rows = _with_paths(chunks, files, id_col, text_col).select("id", "text", "path")
-    return rows.mapInArrow(scan, "id bigint, n_spans int, redacted_text string")
+    found = _rows(chunks, id_col, text_col).mapInArrow(scan, f"id bigint, f bigint, text string, spans {span}")
+    placed = _with_paths(found, files)
+    placed = placed.select("id", "text", F.filter("spans", lambda s: _fits(s["need"], F.col("path"))).alias("spans")).where(F.size("spans") > 0)
+    return placed.mapInArrow(fill, "id bigint, n_spans int, redacted_text string")
