@@ -109,7 +109,6 @@ _CODES = re.compile(r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2}|[0-7]
 _MASK = re.compile(r"[^A-Za-z1-9]*[xX0](?:[xX0]|[^A-Za-z1-9])*")
 _HEX = re.compile(r"(?=[^a-fA-F]*[a-fA-F])(?=[^0-9]*[0-9])(?:0[xX])?(?:[0-9a-f][\-:]?){16,}|(?:0[xX])?(?:[0-9A-F][\-:]?){16,}")
 ALWAYS, IN_SETTINGS, IN_PASSWORD_FILE = 0, 1, 2  # what a span needs to know of its file
-FILES_BOUND = 500_000  # rows of paths that are broadcast, counted first; more are shuffled
 
 
 def is_masked(value: str) -> bool:
@@ -508,14 +507,13 @@ def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _with_paths(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``path``, null where a file is not known; ``found`` has ``f``. Paths are broadcast only within a checked bound."""
+    """Adds ``path``, null where a file is not known; ``found`` (id, f, ...) holds what was found, few and narrow rows."""
     paths = files.select(F.col("file_id").cast("bigint").alias("f"), F.col("path").cast("string").alias("path"))
     paths = paths.where("f is not null").groupBy("f").agg(F.min("path").alias("path"))
-    few = files.count() <= FILES_BOUND
     paths = paths.select(F.col("f").cast("string").alias("key"), "path")
     # rows without a file have keys of their own, so that they do not meet in one task
     key = F.coalesce(F.col("f").cast("string"), F.concat(F.lit("without "), F.coalesce(F.col("id"), F.lit(0)).cast("string")))
-    return found.withColumn("key", key).join(F.broadcast(paths) if few else paths, "key", "left").drop("key")
+    return found.withColumn("key", key).join(paths, "key", "left").drop("key")
 
 
 def _fits(need, path):

@@ -123,7 +123,7 @@ def test_checksums_of_issued_tokens():
 
 
 def test_what_depends_on_the_kind_of_file(spark):
-    rows = [(1, 1, "DB_PASSWORD = Zk_fQpz_LmN7"), (2, 2, "DB_PASSWORD = Zk_fQpz_LmN7"), (3, 3, "h:5432:db:app:Zk29fQpz81"), (4, 4, "h:5432:db:app:Zk29fQpz81"), (5, None, "h:5432:db:app:Zk29fQpz81"), (6, None, "password = 'Zk29fQpz81'"), (7, 99, "DB_PASSWORD = Zk_fQpz_LmN7")]
+    rows = [(1, 1, "DB_PASSWORD: Zk_fQpz_LmN7"), (2, 2, "DB_PASSWORD: Zk_fQpz_LmN7"), (3, 3, "h:5432:db:app:Zk29fQpz81"), (4, 4, "h:5432:db:app:Zk29fQpz81"), (5, None, "h:5432:db:app:Zk29fQpz81"), (6, None, "password = 'Zk29fQpz81'"), (7, 99, "DB_PASSWORD: Zk_fQpz_LmN7")]
     chunks = spark.createDataFrame(rows, "chunk_id long, file_id long, text string").withColumn("path", F.lit("x")).withColumn("key", F.lit(1))
     files = spark.createDataFrame([(1, "a\\.env"), (2, "a/b.md"), (3, "c/.PGPASS"), (4, "c/x.txt"), (None, "z"), (5, None)], "file_id long, path string")
     want = {(1, 1), (3, 1), (6, 1)}
