@@ -267,6 +267,30 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_items(d, b.where("false")).count() == 0
 
 
+def test_a_short_text_may_hold_many_words(spark):
+    text = "\ufdfa" * 6  # twelve characters after five words each: NFKC spells them out
+    assert len(text) == 6 and len(leakage.words_of(text)) >= 13
+    d = spark.createDataFrame([(1, text), (2, "\ufdfa"), (3, text * 3)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, text), (7, text), (8, text + " more")], "item_id long, text string")
+    assert pairs_of(leakage.leaked_items(d, b)) == {(i, j) for i in (1, 3) for j in (7, 8)}
+
+
+def test_search_tables_equal_brute_force_over_few_words():
+    rng = random.Random(13)
+    for _ in range(200):
+        run = rng.randint(3, 6)
+        items = [(rng.randint(0, 3), [rng.choice("abc") for _ in range(rng.randint(0, 12))]) for _ in range(rng.randint(0, 5))]
+        words = [rng.choice("abcz") for _ in range(40)]
+        runs = {}
+        for item, own in items:
+            for k in range(len(own) - run + 1):
+                runs.setdefault(tuple(own[k : k + run]), set()).add(item)
+        hits = [(k + run - 1, runs[w]) for k in range(len(words) - run + 1) if (w := tuple(words[k : k + run])) in runs]
+        table = leakage.WuManber(items, run)
+        assert table.places(words) == [end for end, _ in hits]
+        assert table.search(words) == set().union(*(o for _, o in hits))
+
+
 def test_reading_levels_follow_the_grades(spark):
     rng = random.Random(6)
     easy = "Run the map now. You can open the list and turn it if you like. "
