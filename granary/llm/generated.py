@@ -55,6 +55,7 @@ NOT_CODE = (
     r"|(?:^|/)(?:id_rsa|id_ed25519|id_ecdsa|id_dsa)[^/]*$|(?:^|/)(?:locales?|i18n|lang|translations)/|(?:^|/)\.env[^/]*$"
 )
 LONG_LINE = 200
+NO_ORD = 1 << 40  # where a chunk without an ord is put
 # Closed comments and blank lines, one after the other; an opening mark that then follows is never closed in the text.
 _CLOSED = r"(?:\s++|\uFEFF|/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'{3}.*?'{3}|(?://|#|--|;|\*)[^\n]*+)*+"
 _OPENING, _CLOSING = r"(?:/\*|<!--|\"\"\"|'{3})", r"(?:\*/|-->|\"\"\"|'{3})"
@@ -91,7 +92,7 @@ def _text_evidence(chunks: DataFrame) -> DataFrame:
         both(t, line + to_end).alias("tail"),
         both(t, line).alias("any"),
     )
-    place = F.struct(F.coalesce("ord", F.lit(1 << 30)), "chunk_id")
+    place = F.struct(F.coalesce("ord", F.lit(NO_ORD)).alias("ord"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"))
     per_chunk = chunks.select(
         "f",
         place.alias("place"),
@@ -113,6 +114,11 @@ def _text_evidence(chunks: DataFrame) -> DataFrame:
         t.rlike(SAYS_BUNDLED).cast("int").alias("bundled"),
         t.contains("-----BEGIN ").cast("int").alias("armoured"),
     )
+    # of chunks delivered twice the last counts; rows are narrow here, and an ord that is null is no one's repetition
+    kept = [c for c in per_chunk.columns if c != "f"]
+    again = F.when(F.col("place.ord") == NO_ORD, F.col("place.chunk_id"))
+    once = per_chunk.groupBy("f", F.col("place.ord").alias("ord"), again.alias("again"))
+    per_chunk = once.agg(F.max_by(F.struct(*kept), F.col("place.chunk_id")).alias("x")).select("f", "x.*")
     per_file = per_chunk.groupBy("f").agg(
         *(F.sum(c).alias(c) for c in ("chars", "long_chars", "long_spaces", "long_marks", "blob_chars", "insert_chars")),
         F.array_sort(F.collect_list(F.struct("place", "marks"))).alias("marked"),
@@ -232,13 +238,13 @@ def _messages(nodes: DataFrame, of: str) -> DataFrame:
 
 
 def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(file_id, label, confidence): the most likely label of every file.
+    """(file_id, label, confidence, own): the most likely label of every file, and the one by its own evidence alone.
 
     Labels are handwritten, generated, minified, vendored and blob. Rows with a null
     file_id take no part; repeated rows of a file count once (the smallest path); a null
     path lies in its root's top directory, a file without text is judged by its path, an
     empty one stays handwritten unless its place says otherwise. Of chunks delivered
-    twice, one counts. Settings, keys, locales and notes are handwritten. Extra columns
+    twice, the one with the larger chunk_id counts. Settings, keys, locales and notes are handwritten. Extra columns
     are ignored, and empty tables give an empty result.
     """
     own = files.select(
@@ -248,7 +254,9 @@ def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     pieces = chunks.select(
         F.col("file_id").cast("bigint").alias("f"), F.col("ord").cast("bigint"), F.col("chunk_id").cast("bigint"), F.col("text").cast("string")
     ).where("f is not null and text is not null")
-    leaves = cut(_file_evidence(own, _text_evidence(pieces)))
+    leaves = _file_evidence(own, _text_evidence(pieces))
+    alone = [F.col(f"e_{i}") + math.log(ROOT_PRIOR[i]) for i in N]
+    leaves = cut(leaves.withColumn("own", _likeliest(alone)))
 
     # every directory on the way to a file, the root's top directory "" included
     parts = F.filter(F.split("dir", "/"), lambda x: x != "")
@@ -277,11 +285,15 @@ def label_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
         total = cut(_judged(levels[depth], total.withColumnRenamed("dir", "up"), "b", "t", "root", "up", "dir").drop("up"))
         beliefs = beliefs.unionByName(total)
     # a filter on the label must not be pushed into the sums above: it would repeat them for every use of a belief
-    judged = cut(_judged(leaves, beliefs.withColumnRenamed("dir", "up"), "e", "s", "root", "up", "f"))
+    judged = cut(_judged(leaves, beliefs.withColumnRenamed("dir", "up"), "e", "s", "root", "up", "f", "own"))
     best = F.greatest(*_each("s"))
-    label = F.coalesce(*(F.when(x == best, F.lit(name)) for x, name in zip(_each("s"), LABELS)))
     weight = sum((F.exp(x - best) for x in _each("s")), F.lit(0.0))
-    return judged.select(F.col("f").alias("file_id"), label.alias("label"), (1 / weight).alias("confidence"))
+    return judged.select(F.col("f").alias("file_id"), _likeliest(_each("s")).alias("label"), (1 / weight).alias("confidence"), "own")
+
+
+def _likeliest(beliefs: list[Column]) -> Column:
+    best = F.greatest(*beliefs)
+    return F.coalesce(*(F.when(x == best, F.lit(name)) for x, name in zip(beliefs, LABELS)))
 
 
 def not_handwritten(labels: DataFrame) -> DataFrame:
