@@ -68,6 +68,12 @@ def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     return generated.label_files(table(prepare(spark), d, "files"), table(spark, d, "chunks")).select("file_id", "label")
 
 
+def p5_moved(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose label their place in the tree decides against, or without, their own evidence."""
+    labels = generated.label_files(table(prepare(spark), d, "files"), table(spark, d, "chunks"))
+    return labels.where("label <> own").select("file_id", F.col("own").alias("own_label"), "label")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(prepare(spark), d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -85,7 +91,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_neighbours, p2_found, p2_redacted, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_groups,
-        p5_found, p5_labels, p6_ids, p7_found, p8_found,
+        p5_found, p5_labels, p5_moved, p6_ids, p7_found, p8_found,
     )
 }
 

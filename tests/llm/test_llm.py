@@ -201,20 +201,30 @@ def brute_pairs(texts, bound=0.6):
     return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= bound}
 
 
+def test_positions_follow_from_the_threshold():
+    assert near_duplicates.plan(0.6) == (2, 32)
+    for s in (0.2, 0.3, 0.5, 0.8, 0.9, 0.99, 1.0):
+        each, positions = near_duplicates.plan(s, 1e-4)
+        rng = np.random.default_rng(3)
+        shared = rng.binomial(positions, s**each, 200_000)
+        assert (shared < near_duplicates.MIN_MATCHES).mean() <= 2e-4
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.6, 0.8])
 @pytest.mark.parametrize("list_bound", [64, 3])
-def test_near_duplicates_equal_brute_force(spark, list_bound):
+def test_near_duplicates_equal_brute_force(spark, list_bound, similarity):
     rng = random.Random(2)
     base = [f"w{rng.randint(0, 400)}" for _ in range(60)]
     texts = {}
-    for i in range(60):
+    for i in range(90):
         words = list(base) if i % 3 == 0 else [f"v{rng.randint(0, 400)}" for _ in range(60)]
-        for _ in range(rng.randint(0, 8)):
+        for _ in range(rng.randint(0, 8) if similarity > 0.3 else rng.randint(0, 20)):
             words[rng.randrange(len(words))] = f"z{rng.randint(0, 9)}"
         texts[i] = " ".join(words)
     texts |= {200: texts[0], 201: texts[0].upper(), 300: "too short", 301: "", 302: None}
     df = spark.createDataFrame([*texts.items(), (200, texts[200]), (None, texts[0])], "chunk_id long, text string")
-    found = near_duplicates.all_pairs(*near_duplicates.near_duplicates(df, list_bound=list_bound))
-    assert pairs_of(found) == brute_pairs(texts)
+    found = near_duplicates.all_pairs(*near_duplicates.near_duplicates(df, similarity=similarity, list_bound=list_bound))
+    assert pairs_of(found) == brute_pairs(texts, similarity)
     assert near_duplicates.all_pairs(*near_duplicates.near_duplicates(df.where("false"))).count() == 0
 
 
@@ -333,6 +343,12 @@ def test_markers_count_wherever_they_stand_in_a_file(spark):
     assert got == {i: "generated" if i <= 5 else "handwritten" for i in cases}
 
 
+def test_chunks_delivered_twice_count_once(spark):
+    rows = [(1, 1, 0, "abc"), (2, 1, 0, "abcd"), (3, 1, 1, "xy"), (4, 2, None, "a"), (5, 2, None, "b"), (None, 3, 0, "abc"), (None, 3, 0, "abc")]
+    pieces = spark.createDataFrame(rows, "chunk_id long, f long, ord long, text string")
+    assert {(r.f, r.chars) for r in generated._text_evidence(pieces).collect()} == {(1, 6), (2, 2), (3, 3)}
+
+
 def test_encoded_secrets_are_found_whatever_their_layout():
     import base64
 
