@@ -69,7 +69,8 @@ def top_cosines(queries: DataFrame, vectors: DataFrame, n: int, dim: int, query_
     """(query_id, chunk_id, cosine, pos): the ``n`` most similar rows of each query, without a floor.
 
     Every row is compared: each task multiplies its batches with the queries' matrix and
-    keeps its own best, the window over all of them decides. The norm of a zero vector is 1.
+    hands on what may be among its own best, so the rows that leave it grow with the
+    logarithm of its input; the window over all of them decides. The norm of a zero vector is 1.
     """
     asked = usable(queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vec).alias("v")), "v", dim)
     rows = usable(vectors.select(F.col(vector_id).cast("bigint").alias("id"), F.col(vec).alias("v")), "v", dim)
@@ -82,6 +83,7 @@ def top_cosines(queries: DataFrame, vectors: DataFrame, n: int, dim: int, query_
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             q = q / _length(q)
+            floor = np.full(len(q), -2.0)  # the n-th best of a single part so far, for each query: what lies below cannot come in
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     part = batch.slice(at, 2000)
@@ -89,11 +91,10 @@ def top_cosines(queries: DataFrame, vectors: DataFrame, n: int, dim: int, query_
                     v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
                     for start in range(0, len(q), 1000):
                         c = np.round(q[start : start + 1000] @ (v / _length(v)).T, 9)
-                        if c.shape[1] > n:  # all that tie with the n-th stay for the window to decide
-                            kth = np.partition(c, c.shape[1] - n, axis=1)[:, c.shape[1] - n]
-                            i, j = np.nonzero(c >= kth[:, None])
-                        else:
-                            i, j = np.indices(c.shape).reshape(2, -1)
+                        best_here = floor[start : start + 1000]
+                        if c.shape[1] >= n:
+                            np.maximum(best_here, np.partition(c, c.shape[1] - n, axis=1)[:, c.shape[1] - n], out=best_here)
+                        i, j = np.nonzero(c >= best_here[:, None])  # all that tie with the n-th stay for the window to decide
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(ids[start + i]), pa.array(own[j]), pa.array(c[i, j])], names=["query_id", "chunk_id", "cosine"]
                         )
