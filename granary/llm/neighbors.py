@@ -8,10 +8,16 @@ The windows' candidates carry exact cosines, so merging the orderings is a top-k
 
 Equal vectors would share one key in every ordering, so a group of copies takes part
 once, through its smallest id, and its members are put back after the search.
+
+How many orderings are needed depends on the data and its size, so it is measured: the
+exact neighbours of a bounded sample are found by a scan, and orderings are added until
+the wanted share of them has come out. All rows are indexed and searched for all the same.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.vector import top_cosines
+from granary.plans.runtime import keep
+
 SEED = 20_240
+SAMPLE = 256  # rows whose exact neighbours measure the recall
+TASK_ROWS = 100_000  # placed rows to a task of the window search: 25 MB of vectors of 64 numbers
 SLACK = 2e-6  # float32 error allowed when candidates are chosen before the exact cosine
 
 
@@ -60,11 +71,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _curve_keys(dim: int, orderings: int, projected: int, bits: int):
+def _curve_keys(dim: int, first: int, orderings: int, projected: int, bits: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = []
         for j in range(orderings):
-            rng = np.random.default_rng(SEED + j)
+            rng = np.random.default_rng(SEED + first + j)
             q, _ = np.linalg.qr(rng.standard_normal((dim, projected)))
             turns.append((q, rng.random(projected)))
         side = 1 << bits
@@ -151,6 +162,53 @@ def _top(df: DataFrame, by: str, other: str, k: int) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
 
 
+def _usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
+    """(_id, vec) of the rows that take part."""
+    x = F.col("vec")
+    return (
+        df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+        .where(F.col("_id").isNotNull() & (F.size(x) == dim))
+        .where(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))))
+        .where(F.exists(x, lambda e: e != 0))
+    )
+
+
+def _round(classes: DataFrame, rows: int, first: int, orderings: int, dim: int, window: int, k: int, floor: float | None, projected: int, bits: int) -> DataFrame:
+    """(rep, other, similarity): what the windows of some orderings hold for every row."""
+    keyed = classes.select("rep", "vec").mapInArrow(
+        _curve_keys(dim, first, orderings, projected, bits), "rep bigint, vec array<float>, keys array<bigint>, fine array<bigint>"
+    )
+    placed = keyed.select("rep", "vec", F.posexplode(F.arrays_zip("keys", "fine")).alias("ordering", "at"))
+    placed = placed.select("rep", "vec", "ordering", F.col("at.keys").alias("key"), F.col("at.fine").alias("fine"))
+    # nearly equal vectors share a cell in every ordering; the place inside the cell keeps each ordering's own neighbours
+    # equal keys of many different vectors may be cut anywhere, so the id is part of the range key
+    order = ("ordering", "key", "fine", "rep")
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, math.ceil(rows * orderings / TASK_ROWS))
+    sorted_ = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return sorted_.select("rep", "ordering", "vec").mapInArrow(_window_search(dim, window, k, floor), "rep bigint, other bigint, similarity double")
+
+
+def _exact_sample(classes: DataFrame, k: int, dim: int, floor: float | None, sample: int) -> DataFrame:
+    """(rep, similarity, pos): the true neighbours of the ``sample`` rows with the smallest hashes, by a scan."""
+    asked = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("rep", "vec")
+    near = top_cosines(asked, classes, k + 1, dim, "rep", "rep").where("query_id <> chunk_id")
+    near = near.select(F.col("query_id").alias("rep"), F.round("cosine", 6).alias("similarity"))
+    near = near.where(F.col("similarity") >= floor) if floor is not None else near
+    w = Window.partitionBy("rep").orderBy(F.desc("similarity"))
+    return near.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def _recall(found: DataFrame, exact: DataFrame, k: int) -> float:
+    """The share of the exact neighbours' similarities that the found ones reach, place by place."""
+    w = Window.partitionBy("rep").orderBy(F.desc("similarity"))
+    mine = found.join(exact.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("similarity").alias("mine"), F.row_number().over(w).alias("pos"))
+    met = exact.join(mine, ["rep", "pos"], "left")
+    # a neighbour that was missed moves all later ones up: a found list holds as many true ones as reach the last exact place
+    worst = F.min("similarity").over(Window.partitionBy("rep"))
+    hits = met.withColumn("worst", worst).agg(F.count_if(F.col("mine") >= F.col("worst") - 1e-9).alias("hits"), F.count(F.lit(1)).alias("n")).first()
+    return hits["hits"] / hits["n"] if hits["n"] else 1.0
+
+
 def nearest_vectors(
     df: DataFrame,
     id_col: str = "chunk_id",
@@ -162,6 +220,9 @@ def nearest_vectors(
     window: int = 1024,
     projected: int = 10,
     bits: int = 6,
+    recall: float = 0.95,
+    most_orderings: int = 80,
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """(id, other, similarity): up to ``k`` most similar other rows of every row.
 
@@ -172,43 +233,35 @@ def nearest_vectors(
     an empty result. With ``min_similarity`` less similar pairs are left out early.
 
     All rows are indexed and all are queries. Neighbours are missed only if no ordering
-    brings them into the same or adjacent windows of ``window`` rows.
+    brings them into the same or adjacent windows of ``window`` rows. Orderings are taken
+    ``orderings`` at a time until ``recall`` is measured on ``sample`` rows against a scan
+    of all; a warning says so if ``most_orderings`` do not reach it.
     """
-    x = F.col("_v")
-    usable = (
-        df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
-        .where(F.col("_id").isNotNull() & (F.size(x) == dim))
-        .where(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))))
-        .where(F.exists(x, lambda e: e != 0))
-    )
-    classes = usable.groupBy(x.alias("vec")).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-
-    keyed = classes.select("rep", "vec").mapInArrow(
-        _curve_keys(dim, orderings, projected, bits), "rep bigint, vec array<float>, keys array<bigint>, fine array<bigint>"
-    )
-    placed = keyed.select("rep", "vec", F.posexplode(F.arrays_zip("keys", "fine")).alias("ordering", "at"))
-    placed = placed.select("rep", "vec", "ordering", F.col("at.keys").alias("key"), F.col("at.fine").alias("fine"))
-    # nearly equal vectors share a cell in every ordering; the place inside the cell keeps each ordering's own neighbours
-    # equal keys of many different vectors may be cut anywhere, so the id is part of the range key
-    order = ("ordering", "key", "fine", "rep")
-    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = (
-        sorted_.select("rep", "ordering", "vec")
-        .mapInArrow(_window_search(dim, window, k, min_similarity), "rep bigint, other bigint, similarity double")
-        .groupBy("rep", "other")
-        .agg(F.max("similarity").alias("similarity"))
-    )
-    edges = _top(found, "rep", "other", k)
+    usable = _usable(df, id_col, vec_col, dim)
+    # two hashes name a class of equal vectors where its members are looked up: 128 bits
+    hashes = (F.xxhash64("vec").alias("h_1"), F.xxhash64(F.lit(SEED), "vec").alias("h_2"))
+    classes = keep(usable.groupBy("vec").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    rows = classes.count()
+    exact = keep(_exact_sample(classes, k, dim, min_similarity, sample)) if rows > window else None
+
+    best = None
+    for first in range(0, most_orderings, orderings):
+        found = _round(classes, rows, first, orderings, dim, window, k, min_similarity, projected, bits)
+        found = (found if best is None else found.unionByName(best)).groupBy("rep", "other").agg(F.max("similarity").alias("similarity"))
+        best = keep(_top(found, "rep", "other", k))
+        reached = 1.0 if exact is None else _recall(best, exact, k)
+        if reached >= recall:
+            break
+    else:
+        warnings.warn(f"recall {reached:.3f} after {most_orderings} orderings, {recall} was wanted", stacklevel=2)
 
-    copies = classes.where("n > 1").select(F.xxhash64("vec").alias("h"), "rep")
-    members = (
-        usable.select("_id", F.xxhash64(x).alias("h")).join(copies, "h").select("rep", F.col("_id").alias("member")).distinct()
-    )
+    copies = classes.where("n > 1").select(*hashes, "rep")
+    members = usable.select("_id", *hashes).join(copies, ["h_1", "h_2"]).select("rep", F.col("_id").alias("member")).distinct()
     w = Window.partitionBy("rep").orderBy("member")
     leading = (
         members.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k + 1).select("rep", "member")
     )
-    lists = edges.unionByName(copies.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
+    lists = best.unionByName(copies.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
     lists = (
         lists.join(leading.withColumnRenamed("rep", "other"), "other", "left")
         .select("rep", F.coalesce("member", "other").alias("other"), "similarity")

@@ -399,6 +399,17 @@ def test_neighbours_within_a_cluster_of_several_windows(spark):
     assert len({(r.id, r.other) for r in got} & true) >= 0.9 * len(true)
 
 
+def test_orderings_are_added_until_the_recall_is_reached(spark):
+    rng = np.random.default_rng(11)
+    v = {i: rng.standard_normal(16).astype(np.float32).tolist() for i in range(1500)}  # no structure at all
+    df = spark.createDataFrame([*v.items()], "chunk_id long, vec array<float>")
+    true = {(a, b) for a, b, _ in brute_neighbours(v, 5)}
+    share = lambda **kw: len({(r.id, r.other) for r in neighbors.nearest_vectors(df, k=5, dim=16, window=48, orderings=4, **kw).collect()} & true) / len(true)
+    with pytest.warns(UserWarning, match="wanted"):
+        few = share(most_orderings=4)
+    assert few < 0.85 and share(recall=0.95, most_orderings=80) >= 0.92
+
+
 def test_words_of_short_documents_count_for_the_ranks(spark):
     long = "The cat and the dog see the map. " * 14
     docs = [(1, long)] + [(10 + i, "You must not open the zeppelin or the zeppelin. ") for i in range(100)]
