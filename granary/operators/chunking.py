@@ -41,12 +41,13 @@ def break_points(df: DataFrame, id_col: str, text_col: str = "text") -> DataFram
     return lines.withColumn("before", before).where(is_break("line", "before")).select(id_col, "line_no")
 
 
-def chunk_text(text: str | None, target: int = 80, least: int = 25, overlap: int = 8) -> list[tuple[str, int, int]]:
+def chunk_text(text: str | None, target: int = 80, least: int = 25, overlap: int = 8, whole: bool = True) -> list[tuple[str, int, int]]:
     """(text, first line, last line) of each chunk; lines from 1, both ends included.
 
     A chunk ends at the last break between ``least`` and ``target`` lines, or at the
     target; while it holds more than 6,000 characters its lines are halved, and a single
-    longer line is cut there. The next chunk starts ``overlap`` lines before its end.
+    longer line is cut there: its rest follows in further chunks of the same line, or is
+    dropped if not ``whole``. The next chunk starts ``overlap`` lines before its end.
     """
     lines = (text or "").split("\n")
     blank = [_BLANK_LINE.fullmatch(line) is not None for line in lines]
@@ -62,16 +63,18 @@ def chunk_text(text: str | None, target: int = 80, least: int = 25, overlap: int
                 stop = starts[i]
         while stop - at > 1 and ends[stop] - ends[at] - 1 > MAX_CHARS:
             stop = at + (stop - at) // 2
-        piece = "\n".join(lines[at:stop])[:MAX_CHARS]
-        if not all(map(_BLANK_LINE.fullmatch, piece.split("\n"))):
-            out.append((piece, at + 1, stop))
+        piece = "\n".join(lines[at:stop])
+        for first in range(0, len(piece) if whole else 1, MAX_CHARS):
+            part = piece[first : first + MAX_CHARS]
+            if not all(map(_BLANK_LINE.fullmatch, part.split("\n"))):
+                out.append((part, at + 1, stop))
         if stop >= size:
             break
         at = max(at + 1, stop - overlap)
     return out
 
 
-def chunk_lines(df: DataFrame, id_col: str, text_col: str = "text", target: int = 80, least: int = 25, overlap: int = 8) -> DataFrame:
+def chunk_lines(df: DataFrame, id_col: str, text_col: str = "text", target: int = 80, least: int = 25, overlap: int = 8, whole: bool = True) -> DataFrame:
     """(id_col, ord, start_line, end_line, text); null, empty and blank texts give no row."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +82,7 @@ def chunk_lines(df: DataFrame, id_col: str, text_col: str = "text", target: int
             rows = [
                 (i, n, first, last, piece)
                 for i, text in zip(frame["id"], frame["text"])
-                for n, (piece, first, last) in enumerate(chunk_text(text, target, least, overlap))
+                for n, (piece, first, last) in enumerate(chunk_text(text, target, least, overlap, whole))
             ]
             yield pd.DataFrame(rows, columns=["id", "ord", "start_line", "end_line", "text"]).astype({"id": "Int64"})
 

@@ -69,14 +69,15 @@ def content_hash(spark, d):
 
 
 def unchanged_files(spark, d):
-    """Files whose stored hash is that of the text their chunks make up; the SQL knows those of one chunk only."""
+    """Files whose stored hash is that of the text their chunks make up."""
     own = table(prepare(spark), d, "files").select("file_id", "root_id", "path", "hash", "size")
     return index.unchanged(own, _chunks(spark, d)).select("file_id", "root_id", "path")
 
 
 def missing_files(spark, d):
-    """Files of tracked roots that no index run has named."""
-    logged = table(prepare(spark), d, "index_log").select("file_id").distinct()
+    """Files of tracked roots that the index runs of their root's last 30 days no longer list."""
+    log = table(prepare(spark), d, "index_log").withColumn("last", F.max("logged_at").over(Window.partitionBy("root_id")))
+    logged = log.where("logged_at >= last - interval 30 days").select("file_id").distinct()
     tracked = table(spark, d, "roots").where("tracked_at is not null").select("root_id")
     return table(spark, d, "files").join(tracked, "root_id", "left_semi").join(logged, "file_id", "left_anti").select("file_id", "root_id", "path")
 
@@ -353,7 +354,95 @@ _EVIDENCE = f"""
     res as (select * from (select *, row_number() over (partition by query_id order by score desc, fused_pos) as rank from per where nth <= {CONFIG.max_per_file})
             where rank <= {CONFIG.top_k})
 """
+# --- the hybrid search: hash vectors, both rankings, and the fold over what the cut leaves ---
+_HYBRID = f"""
+    ht as (select chunk_id as id, unnest(tokens) as t, 'c' as side from toks union all
+           select query_id, t, 'q' from (select query_id, unnest(toks) as t from q2 where query_id in (select query_id from qc union select query_id from ids))),
+    hb as (select side, id, (('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::bigint % {vector.DIM})::int as b,
+                  sum(case when h[10] in ('1','3','5','7','9','b','d','f') then 1.0 else -1.0 end::double) as s
+           from (select side, id, md5(t) as h from ht) group by all),
+    hv as (select side, id, b, (s / sqrt(sum(s * s) over (partition by side, id)))::float::double as v from hb where s <> 0),
+    hn as (select side, id, sqrt(sum(v * v)) as n from hv group by all),
+    able as (select query_id from qc union select query_id from ids),
+    dots as (select q.id as query_id, c.id as chunk_id, sum(q.v * c.v) as dot from hv q join hv c on q.side = 'q' and c.side = 'c' and q.b = c.b group by all),
+    cosines as (select a.query_id, c.chunk_id, round(coalesce(d.dot / (nq.n * nc.n), 0.0), 9) as cosine
+            from able a cross join (select chunk_id from chunks where chunk_id is not null) c
+            left join dots d on d.query_id = a.query_id and d.chunk_id = c.chunk_id
+            left join hn nq on nq.side = 'q' and nq.id = a.query_id left join hn nc on nc.side = 'c' and nc.id = c.chunk_id),
+    sem as (select * from (select *, row_number() over (partition by query_id order by cosine desc, chunk_id) as pos from cosines) where pos <= {CONFIG.candidates}),
+    both_lists as (select coalesce(l.query_id, s.query_id) as query_id, coalesce(l.chunk_id, s.chunk_id) as chunk_id, l.pos as lexpos, s.pos as sempos, s.cosine,
+             coalesce(1.0::double / ({CONFIG.rrf_k} + l.pos), 0) + coalesce(1.0::double / ({CONFIG.rrf_k} + s.pos), 0) as rrf
+             from lex l full join sem s on l.query_id = s.query_id and l.chunk_id = s.chunk_id),
+    fused as (select query_id, chunk_id, rrf, fused_pos, cosine from (select *, row_number() over (partition by query_id
+              order by round(rrf, 12) desc, lexpos asc nulls last, sempos asc nulls last) as fused_pos from both_lists) where fused_pos <= {CONFIG.candidates})
+"""
+
+
+def _folded(gated: str, cosine: str) -> str:
+    """From evidence to results, with the near-duplicate test among the rows taken: a fold a row at a time."""
+    return f"""
+    scored as (select *, rrf / (2.0 / {CONFIG.rrf_k + 1}) + {CONFIG.w_identifier} * least(identifier_hits, 3) + {CONFIG.w_coverage} * coverage
+                      + {CONFIG.w_cosine} * greatest(0.0, coalesce({cosine}, 0.0)) + file_boost as score
+              from ev where identifier_hits >= {CONFIG.min_identifier_hits} or coverage >= {CONFIG.min_token_coverage} {gated}),
+    cutrows as (select *, row_number() over (partition by query_id order by score desc, fused_pos) as i
+                from (select *, max(score) over (partition by query_id) as best from scored) where score >= best * {CONFIG.relative_threshold}),
+    dense as (select id, list(v order by b) as v, list(b order by b) as bs from hv where side = 'c' and id in (select chunk_id from cutrows) group by id),
+    full_vec as (select id, [coalesce(v[list_position(bs, k)], 0.0) for k in range({vector.DIM})] as v from dense),
+    seq as (select c.*, f.v from cutrows c left join full_vec f on f.id = c.chunk_id),
+    fold(query_id, i, taken) as (
+      select distinct query_id, 0::bigint, []::struct(chunk_id bigint, path varchar, v double[])[] from seq
+      union all
+      select f.query_id, s.i, case when len(f.taken) >= {CONFIG.top_k} or len([t for t in f.taken if t.path is not distinct from s.path]) >= {CONFIG.max_per_file}
+             or len([t for t in f.taken if list_cosine_similarity(t.v, s.v) >= {CONFIG.near_dup_cosine}]) > 0 then f.taken
+             else list_append(f.taken, struct_pack(chunk_id := s.chunk_id, path := s.path, v := s.v)) end
+      from fold f join seq s on s.query_id = f.query_id and s.i = f.i + 1),
+    chosen as (select query_id, unnest([t.chunk_id for t in taken]) as chunk_id, generate_subscripts(taken, 1) as rank
+               from (select *, row_number() over (partition by query_id order by i desc) as r from fold) where r = 1)
+"""
+
+
+_CHUNK_LINES = f"""
+    with recursive t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    b as (select *, [regexp_full_match(x, '[{_WS}]*') for x in lines] as blank from t),
+    n as (select *, coalesce(list_max([k for k in range(1, len(lines) + 1) if not blank[k]]), 0)::int as n from b),
+    st as (select *, [k::int for k in range(1, n) if blank[k] or (not blank[k + 1]
+           and regexp_matches(lines[k + 1], '{chunking.CONSTRUCT.replace(T.BLANK, _WS).replace("'", "''")}'))] as starts from n),
+    step(doc_id, first, stop) as (
+      select doc_id, 0, 0 from st where n > 0
+      union all
+      select doc_id, nat, nat + (whole - nat) // pow(2, list_min([h for h in range(0, 8) if (whole - nat) // pow(2, h)::int <= 1
+             or length(array_to_string(lines[nat + 1:nat + (whole - nat) // pow(2, h)::int], chr(10))) <= {chunking.MAX_CHARS}]))::int
+      from (select s.doc_id, st.lines, case when s.stop = 0 then 0 else greatest(s.first + 1, s.stop - 8) end as nat,
+                   case when nat + 80 < st.n then coalesce(list_max([x for x in st.starts if x <= nat + 80 and x >= nat + 25]), nat + 80)
+                        else least(nat + 80, st.n) end as whole
+            from step s join st on st.doc_id = s.doc_id where s.stop < st.n)),
+    raw as (select s.doc_id, s.first, s.stop, array_to_string(st.lines[s.first + 1:s.stop], chr(10)) as whole from step s join st on st.doc_id = s.doc_id where s.stop > 0),
+    cutup as (select doc_id, first, stop, k, substr(whole, k * {chunking.MAX_CHARS} + 1, {chunking.MAX_CHARS}) as text
+              from (select *, unnest(range(0, greatest(1, (length(whole) + {chunking.MAX_CHARS - 1}) // {chunking.MAX_CHARS}))) as k from raw))
+    select doc_id, (row_number() over (partition by doc_id order by first, k) - 1)::int as ord, (first + 1)::int as start_line, stop::int as end_line, text
+    from cutup where not regexp_full_match(text, '[{_WS}]*')
+"""
+
+
 _SEARCH = f"with {_TOKENS_CTE}, {_queries_cte(_PROMPT_SOURCE)}, {_IDS}, {_BM25}, {_EVIDENCE} "
+_HYBRID_EV = _EVIDENCE[_EVIDENCE.index("cov as") : _EVIDENCE.index("gated as")].rstrip().rstrip(",")
+_HYBRID_SEARCH = (
+    f"with recursive {_TOKENS_CTE}, {_queries_cte(_PROMPT_SOURCE)}, {_IDS}, {_BM25}, {_HYBRID}, "
+    + _HYBRID_EV.replace("f.rrf, f.fused_pos,", "f.rrf, f.fused_pos, f.cosine,")
+    + ", " + _folded(f"or coalesce(cosine >= {CONFIG.cosine_floor}, false)", "cosine")
+)
+_ELIGIBLE = f"""
+    (select distinct prompt_id, prompt_text, regexp_replace(coalesce(prompt_text, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') as s from prompts)
+"""
+_INJECT = f"""
+    with {_TOKENS_CTE}, {_queries_cte(f"select prompt_id as query_id, coalesce(prompt_text, '') as query from {_ELIGIBLE} where length(s) >= 8 and s not like '/%'")},
+    {_IDS}, {_BM25}, {_EVIDENCE},
+    bl as (select query_id, rank, '### ' || rank || '. ' || coalesce(path, '') || ':' || concat_ws('-', start_line, end_line) || ' (score ' || printf('%.2f', round(score, 2))
+           || ')' || chr(10) || case when length(text) > {CONFIG.max_chunk_chars} then substr(text, 1, {CONFIG.max_chunk_chars}) || chr(10) || '…' else coalesce(text, '') end as block from res),
+    us as (select *, sum(length(block)) over (partition by query_id order by rank) as used from bl)
+    select query_id, count(*) as n_blocks, '{inject.OPENING}' || string_agg(block, chr(10) || chr(10) order by rank) || '{inject.CLOSING}' as context
+    from us where used <= {CONFIG.max_inject_tokens * 4} group by query_id
+"""
 _EXT = ", ".join(f"'{e}'" for e in files.extensions(CONFIG))
 _SPECIAL = ", ".join(f"'{e}'" for e in files.SPECIAL_NAMES)
 _DIRS = ", ".join(f"'{e}'" for e in files.EXCLUDED_DIRS)
@@ -389,12 +478,29 @@ SQL: dict[str, str] = {
         select q0.query_id, coalesce(string_agg(w, ' ' order by w), '') as ids
         from q0 left join ids on ids.query_id = q0.query_id group by q0.query_id, q0.query""",
     "content_hash": "select doc_id, sha1(text) as hash from documents where text is not null",
-    "unchanged_files": """
-        with s as (select file_id, sha1(min(text)) as hash from chunks where text is not null group by file_id having count(*) = 1)
-        select f.file_id, f.root_id, f.path from files f join s on s.file_id = f.file_id and s.hash = f.hash""",
+    "unchanged_files": r"""
+        with recursive p as (select file_id, coalesce(ord, -1) as ord, chunk_id, text from chunks where text is not null and file_id is not null),
+        v as (select file_id, 1 as way, ord, arg_max(text, chunk_id) as text from p group by file_id, ord
+              union all select file_id, 2, ord, arg_min(text, chunk_id) from p group by file_id, ord),
+        s as (select file_id, way, row_number() over (partition by file_id, way order by ord) as i, string_split(text, chr(10)) as lines from v),
+        fold(file_id, way, i, built) as (
+          select file_id, way, i, lines from s where i = 1
+          union all
+          select file_id, way, i, case when k = 0 and len(built) > 1 and ends_with(built[len(built) - 1], chr(13)) and not ends_with(built[len(built)], chr(13))
+                 then list_concat(list_append(built[1:len(built) - 1], built[len(built)] || chr(13)), lines) else list_concat(built[1:len(built) - k], lines) end
+          from (select f.file_id, f.way, s.i, f.built, s.lines,
+                       coalesce(list_max([k for k in range(1, least(len(f.built), len(s.lines)) + 1)
+                                 if [regexp_replace(x, '\r$', '') for x in f.built[len(f.built) - k + 1:len(f.built)]] = [regexp_replace(x, '\r$', '') for x in s.lines[1:k]]]), 0) as k
+                from fold f join s on s.file_id = f.file_id and s.way = f.way and s.i = f.i + 1)),
+        whole as (select distinct file_id, array_to_string(built, chr(10)) as text
+                  from (select *, row_number() over (partition by file_id, way order by i desc) as r from fold) where r = 1)
+        select distinct f.file_id, f.root_id, f.path from files f join whole w on w.file_id = f.file_id
+        where len([n for n in range(0, greatest(coalesce(f.size, 0) - strlen(w.text), 64) + 1)
+                   if sha1(w.text || repeat(chr(10), n::int)) = lower(f.hash) or sha1(w.text || repeat(chr(13) || chr(10), n::int)) = lower(f.hash)]) > 0""",
     "missing_files": """
+        with l as (select *, max(logged_at) over (partition by root_id) as last from index_log)
         select file_id, root_id, path from files where root_id in (select root_id from roots where tracked_at is not null)
-        and file_id not in (select file_id from index_log where file_id is not null)""",
+        and file_id not in (select file_id from l where file_id is not null and logged_at >= last - interval 30 days)""",
     "files_in_order": "select path, root_id, file_id, size from files order by path, root_id",
     "store_stats": """
         select (select count(*) from files) as files, count(*) as chunks, count(vec) as vectors,
@@ -433,6 +539,12 @@ SQL: dict[str, str] = {
                when g.c is null then 'gated-out' else 'ok' end as reason, coalesce(n.c, 0) as n_candidates, coalesce(g.c, 0) as n_gated
         from q0 left join able on able.query_id = q0.query_id left join n on n.query_id = q0.query_id left join g on g.query_id = q0.query_id""",
     "score_cutoff": _SEARCH + "select query_id, chunk_id, round(score, 6) as score from cut",
+    "hybrid_search": _HYBRID_SEARCH + """select c.query_id, c.rank::int as rank, c.chunk_id, s.path, round(s.score, 6) as score
+        from chosen c join cutrows s on s.query_id = c.query_id and s.chunk_id = c.chunk_id""",
+    "inject_block": _INJECT,
+    "result_rows": _SEARCH + """select query_id, rank::int as rank, path, concat_ws('-', start_line, end_line) as lines, printf('%.3f', round(score, 3)) as score,
+        printf('%.2f', round(coverage, 2)) as coverage, substr(text, 1, 1200) as preview from res""",
+    "chunk_lines": _CHUNK_LINES,
     "lexical_search": _SEARCH + "select query_id, rank::int as rank, chunk_id, path, round(score, 6) as score from res",
     "prompt_filter": f"""
         with t as (select distinct prompt_id, prompt_text, regexp_replace(coalesce(prompt_text, ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') as s from prompts)
