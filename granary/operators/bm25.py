@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ ASKED_BOUND = 2_000_000  # pairs of query and term that one scan takes along
 LIST_ROWS, QUERY_ROWS = 4000, 1000  # a block of scores in a task: 32 MB
 
 
-_WORD = re.compile(T.WORD)
+WORDS = re.compile(T.WORD)
 _BOUNDARY = re.compile(T.BOUNDARY)
 
 
@@ -43,27 +44,51 @@ def _word_tokens(word: str) -> tuple[list[str], list[str]]:
     return own, [s for t in own if (s := _stem(t)) != t]
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[list[str], list[str]]] = {}
-    for batch in batches:
-        if len(known) > 500_000:
-            known.clear()
-        tokens, index_tokens = [], []
-        for text in batch.column("text").to_pylist():
-            own, stems = [], []
-            for word in _WORD.findall(text or ""):
-                if word not in known:
-                    known[word] = _word_tokens(word)
-                first, then = known[word]
-                own += first
-                stems += then
-            own += stems
-            tokens.append(own)
-            index_tokens.append([p for t in own for p in t.split("_") if p] if text and "_" in text else own)
-        kind = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("chunk_id"), pa.array(tokens, kind), pa.array(index_tokens, kind)], names=["chunk_id", "tokens", "index_tokens"]
-        )
+class Analyser:
+    """Tokens of texts, in a worker that remembers its words."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[list[str], list[str]]] = {}
+
+    def words(self, word: str) -> tuple[list[str], list[str]]:
+        entry = self.known.get(word)
+        if entry is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            entry = self.known[word] = _word_tokens(word)
+        return entry
+
+    def tokens(self, text: str | None) -> list[str]:
+        """T4: own tokens in order, then the stems that differ."""
+        own, stems = [], []
+        for word in WORDS.findall(text or ""):
+            first, then = self.words(word)
+            own += first
+            stems += then
+        return own + stems
+
+
+def index_tokens(tokens: list[str]) -> list[str]:
+    """Tokens as the index holds them: split at underscores."""
+    return [p for t in tokens for p in t.split("_") if p] if any("_" in t for t in tokens) else tokens
+
+
+_STRINGS = pa.list_(pa.string())
+
+
+def with_tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds tokens and index_tokens to rows with texts; one Arrow pass, rows stay where they lie."""
+    names = df.columns
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyser = Analyser()
+        for batch in batches:
+            tokens = [analyser.tokens(t) for t in batch.column(text_col).to_pylist()]
+            columns = [*batch.columns, pa.array(tokens, _STRINGS), pa.array(map(index_tokens, tokens), _STRINGS)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "tokens", "index_tokens"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(add, f"{fields}, tokens array<string>, index_tokens array<string>")
 
 
 def analyse_chunks(chunks: DataFrame) -> DataFrame:
@@ -73,7 +98,7 @@ def analyse_chunks(chunks: DataFrame) -> DataFrame:
     about 100 microseconds a word here; Arrow batches with a memory of words take one.
     """
     rows = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(_token_batches, "chunk_id bigint, tokens array<string>, index_tokens array<string>")
+    return with_tokens(rows).drop("text")
 
 
 def postings(analysed: DataFrame) -> DataFrame:
@@ -106,21 +131,27 @@ def _phrase_postings(phrases: DataFrame, analysed: DataFrame) -> DataFrame:
     return starts.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _weighed(queries: DataFrame, analysed: DataFrame, post: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(query_id, key) of what is asked for, and (key, chunk_id, part) of what chunks score for it."""
-    post = postings(analysed) if post is None else post
-    asked = queries.select("query_id", F.explode("content").alias("term"))
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query_id, term, parts, key): content terms; the key of a term of several parts is led by an underscore."""
     parts = F.filter(F.split("term", "_+"), lambda p: p != "")
-    asked = asked.withColumn("parts", parts).where(F.size("parts") > 0)
-    simple = asked.where(F.size("parts") == 1).select("query_id", F.col("parts")[0].alias("key"))
+    asked = queries.select("query_id", F.explode("content").alias("term")).withColumn("parts", parts).where(F.size("parts") > 0)
+    return asked.withColumn("key", F.when(F.size("parts") == 1, F.col("parts")[0]).otherwise(F.concat(F.lit("_"), "term")))
+
+
+def score(queries: DataFrame, analysed: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, bm25): every chunk with a content term of the query; higher is better.
+
+    A term with underscores is a phrase of its parts. Terms in at least half of all chunks
+    weigh next to nothing. Chunks without text count in the statistics. Both joins are on
+    the term; the only thing broadcast is one row of totals.
+    """
+    asked = _asked(queries)
     phrases = asked.where(F.size("parts") > 1).select("term", "parts").distinct()
-    found = post.select(F.col("term").alias("key"), "chunk_id", "tf")
-    wanted = simple.select("key").distinct()
-    found = found.join(wanted, "key", "left_semi").unionByName(
-        _phrase_postings(phrases, analysed).select(F.concat(F.lit("_"), "term").alias("key"), "chunk_id", "tf")
+    wanted = asked.where(F.size("parts") == 1).select("key").distinct()
+    found = postings(analysed).select(F.col("term").alias("key"), "chunk_id", "tf").join(wanted, "key", "left_semi")
+    found = keep(  # read for the document frequencies and again for the weights
+        found.unionByName(_phrase_postings(phrases, analysed).select(F.concat(F.lit("_"), "term").alias("key"), "chunk_id", "tf"))
     )
-    found = keep(found)  # read for the document frequencies and again for the weights
-    asked = simple.unionByName(asked.where(F.size("parts") > 1).select("query_id", F.concat(F.lit("_"), "term").alias("key")))
     df = found.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     dl = lengths(analysed)
     totals = dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
@@ -129,49 +160,127 @@ def _weighed(queries: DataFrame, analysed: DataFrame, post: DataFrame | None) ->
     tf = F.col("tf").cast("double")
     part = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = found.join(df, "key").join(dl, "chunk_id").crossJoin(F.broadcast(totals)).select("key", "chunk_id", part.alias("part"))
-    return asked, weighed
-
-
-def score(queries: DataFrame, analysed: DataFrame, post: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, bm25): every chunk with a content term of the query; higher is better.
+    return asked.select("query_id", "key").join(weighed, "key").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"))
+
+
+class Wanted:
+    """What a batch of queries asks for, in the form that travels to the tasks."""
+
+    def __init__(self, rows: list):
+        """``rows``: (key, query_id, times), phrases led by an underscore."""
+        self.ids = sorted({r.query_id for r in rows})
+        place = {q: i for i, q in enumerate(self.ids)}
+        self.codes: dict[str, int] = {}
+        asked: list[tuple[list, list]] = []
+        for r in rows:
+            code = self.codes.setdefault(r.key, len(self.codes))
+            if code == len(asked):
+                asked.append(([], []))
+            asked[code][0].append(place[r.query_id])
+            asked[code][1].append(float(r.times))
+        self.asked = [(np.array(a), np.array(t)) for a, t in asked]
+        self.phrases = {key: [p for p in key.split("_") if p] for key in self.codes if key.startswith("_")}
+
+    @property
+    def parts(self) -> set[str]:
+        return {p for parts in self.phrases.values() for p in parts}
+
+
+def occurrences(stream: list[str], parts: list[str]) -> int:
+    """How often the parts stand side by side in a stream of tokens, in order."""
+    first, n, at, count = parts[0], len(parts), -1, 0
+    while True:
+        try:
+            at = stream.index(first, at + 1)
+        except ValueError:
+            return count
+        count += stream[at : at + n] == parts
+
+
+def _count_wanted(shared):
+    """(chunk_id, dl, keys, tfs) of each text: how often it holds what is wanted, by its distinct words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: Wanted = shared.value
+        codes, parts = wanted.codes, wanted.parts
+        analyser, known = Analyser(), {}
+
+        def entry(word: str) -> tuple[int, list[int], list[str]]:
+            own, stems = analyser.words(word)
+            held = index_tokens(own + stems)
+            return len(held), [codes[t] for t in held if t in codes], [t for t in held if t in parts]
 
-    A term with underscores is a phrase of its parts. Terms in at least half of all chunks
-    weigh next to nothing. Chunks without text count in the statistics. Both joins are on
-    the term; the only thing broadcast is one row of totals.
-    """
-    asked, weighed = _weighed(queries, analysed, post)
-    return asked.join(weighed, "key").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("bm25"))
+        for batch in batches:
+            dl, keys, tfs = [], [], []
+            for text in batch.column("text").to_pylist():
+                n, tf, present = 0, {}, set()
+                for word, times in Counter(WORDS.findall(text or "")).items():
+                    e = known.get(word)
+                    if e is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        e = known[word] = entry(word)
+                    n += e[0] * times
+                    for code in e[1]:
+                        tf[code] = tf.get(code, 0) + times
+                    present.update(e[2])
+                if present:
+                    stream = None
+                    for key, own in wanted.phrases.items():
+                        if present.issuperset(own):
+                            stream = stream or index_tokens(analyser.tokens(text))
+                            found = occurrences(stream, own)
+                            if found:
+                                tf[codes[key]] = found
+                dl.append(n)
+                keys.append(list(tf))
+                tfs.append(list(tf.values()))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk_id"), pa.array(dl, pa.int32()), pa.array(keys, kind), pa.array(tfs, kind)], names=["chunk_id", "dl", "keys", "tfs"]
+            )
+
+    return count
+
+
+def matched(chunks: DataFrame, wanted: Wanted) -> tuple[DataFrame, int, float]:
+    """((chunk_id, dl, keys, tfs), number of chunks, mean length): one pass over the texts, no shuffle."""
+    shared = chunks.sparkSession.sparkContext.broadcast(wanted)
+    rows = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("bigint"), F.col("text").cast("string"))
+    found = keep(rows.mapInArrow(_count_wanted(shared), "chunk_id bigint, dl int, keys array<int>, tfs array<int>"))
+    totals = found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return found, totals["n"], totals["avgdl"] or 0.0
 
 
 def _best_of_lists(shared, n: int):
-    """Scores of all queries for lists (chunk_id, keys, parts); a task hands on only what may be among the n best."""
+    """Scores of all queries for lists (chunk_id, dl, keys, tfs); a task hands on only what may be among the n best."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms = shared.value
+        ids, asked, weight, avgdl = shared.value
         ids = np.array(ids, np.int64)
         floor = np.zeros(len(ids))  # the n-th best of a single block so far, for each query
         for batch in batches:
             for at in range(0, batch.num_rows, LIST_ROWS):
                 part = batch.slice(at, LIST_ROWS)
                 own = part.column("chunk_id").to_numpy(zero_copy_only=False)
+                dl = part.column("dl").to_numpy(zero_copy_only=False)
                 lists = part.column("keys")
-                words = lists.flatten().dictionary_encode()
                 row = np.repeat(np.arange(len(own)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                worth = part.column("parts").flatten().to_numpy(zero_copy_only=False)
-                code = words.indices.to_numpy(zero_copy_only=False)
+                code = lists.flatten().to_numpy(zero_copy_only=False)
+                tf = part.column("tfs").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                worth = weight[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
                 order = np.argsort(code, kind="stable")
-                row, worth = row[order], worth[order]
-                ends = np.cumsum(np.bincount(code, minlength=len(words.dictionary)))
-                entries = [(terms.get(w), e) for w, e in zip(words.dictionary.to_pylist(), ends)]
+                row, worth, code = row[order], worth[order], code[order]
+                here, starts = np.unique(code, return_index=True)
+                spans = list(zip(here.tolist(), starts, np.append(starts[1:], len(code))))
                 for first in range(0, len(ids), QUERY_ROWS):
                     last = min(first + QUERY_ROWS, len(ids))
-                    s, start = np.zeros((last - first, len(own))), 0
-                    for asked, end in entries:
-                        if asked is not None:
-                            lo, hi = np.searchsorted(asked[0], (first, last))
-                            if lo < hi:
-                                s[asked[0][lo:hi, None] - first, row[None, start:end]] += asked[1][lo:hi, None] * worth[None, start:end]
-                        start = end
+                    s = np.zeros((last - first, len(own)))
+                    for k, start, end in spans:
+                        places, times = asked[k]
+                        lo, hi = np.searchsorted(places, (first, last))
+                        if lo < hi:
+                            s[places[lo:hi, None] - first, row[None, start:end]] += times[lo:hi, None] * worth[None, start:end]
                     if len(own) > n:
                         kth = np.partition(s, len(own) - n, axis=1)[:, len(own) - n]
                         floor[first:last] = np.maximum(floor[first:last], kth)
@@ -184,30 +293,28 @@ def _best_of_lists(shared, n: int):
     return best
 
 
-def top_scores(queries: DataFrame, analysed: DataFrame, n: int, post: DataFrame | None = None) -> DataFrame:
+def top_scores(queries: DataFrame, chunks: DataFrame, n: int, source=None) -> DataFrame:
     """(query_id, chunk_id, bm25, pos): the ``n`` best chunks of each query; ties by chunk id.
 
-    Up to ``ASKED_BOUND`` pairs of query and term, which is checked, travel to the tasks:
-    the lists of wanted terms are gathered by chunk once, and every task keeps only what
+    Up to ``ASKED_BOUND`` pairs of query and term, which is checked, travel to the tasks. What
+    chunks hold of them comes from one pass over ``chunks`` (chunk_id, text), or from
+    ``source(wanted)``, which gives the same from a stored index; every task keeps only what
     may be among its n best, so the grid of queries and chunks is never shuffled. More
     pairs take the joins of ``score``; the rows are the same.
     """
-    asked, weighed = _weighed(queries, analysed, post)
-    asked = keep(asked.groupBy(F.col("query_id").cast("bigint").alias("query_id"), "key").agg(F.count(F.lit(1)).alias("times")))
+    asked = _asked(queries).select(F.col("query_id").cast("bigint").alias("query_id"), "key")
+    asked = keep(asked.groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("times")))
     if asked.count() > ASKED_BOUND:
-        part = F.col("part") * F.col("times")
-        return top(asked.join(weighed, "key").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25")), n)
-    rows = asked.orderBy("key", "query_id").collect()
-    ids = sorted({r.query_id for r in rows})
-    place = {q: i for i, q in enumerate(ids)}
-    terms: dict[str, tuple[list, list]] = {}
-    for r in rows:
-        at, times = terms.setdefault(r.key, ([], []))
-        at.append(place[r.query_id])
-        times.append(float(r.times))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, {k: (np.array(a), np.array(t)) for k, (a, t) in terms.items()}))
-    pairs = F.sort_array(F.collect_list(F.struct("key", "part")))
-    lists = weighed.groupBy("chunk_id").agg(pairs.alias("x")).select("chunk_id", F.col("x.key").alias("keys"), F.col("x.part").alias("parts"))
+        return top(score(queries, keep(analyse_chunks(chunks))), n)
+    wanted = Wanted(asked.orderBy("key", "query_id").collect())
+    found, size, avgdl = (source or (lambda w: matched(chunks, w)))(wanted)
+    df = np.zeros(len(wanted.codes))
+    for code, count in found.select(F.explode("keys").alias("k")).groupBy("k").count().collect():  # at most the wanted terms
+        df[code] = count
+    idf = np.log((size - df + 0.5) / (df + 0.5))
+    weight = np.where(idf <= 0, LEAST_IDF, idf)
+    shared = queries.sparkSession.sparkContext.broadcast((wanted.ids, wanted.asked, weight, avgdl))
+    lists = found.where(F.size("keys") > 0)
     return top(lists.mapInArrow(_best_of_lists(shared, n), "query_id bigint, chunk_id bigint, bm25 double"), n)
 
 

@@ -12,6 +12,13 @@ OPENING = "<retrieved-context>\nThese passages passed the relevance gate of the
 CLOSING = "\n</retrieved-context>"
 
 
+def prompts_of(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:
+    """Adds prompt_text and cwd from JSON payloads; a prompt may go by either of two names, rows without one fall away."""
+    read = F.from_json(payload_col, "prompt string, user_prompt string, cwd string")
+    rows = payloads.withColumn("_read", read).withColumn("prompt_text", F.coalesce("_read.prompt", "_read.user_prompt"))
+    return rows.where("prompt_text is not null").withColumn("cwd", F.col("_read.cwd")).drop("_read", payload_col)
+
+
 def eligible_prompts(prompts: DataFrame, config: Config, text_col: str = "prompt_text") -> DataFrame:
     """F8: prompts of at least eight characters that are no command, each row once."""
     kept = T.trimmed(F.coalesce(F.col(text_col), F.lit("")))

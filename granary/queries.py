@@ -111,8 +111,7 @@ def doc_len(spark, d):
 
 
 def _lexical(queries: DataFrame, spark, d, n: int) -> DataFrame:
-    analysed = keep(bm25.analyse_chunks(_chunks(spark, d)))
-    return bm25.top_scores(keep(bm25.analyse_queries(queries)), analysed, n)
+    return bm25.top_scores(keep(bm25.analyse_queries(queries)), _chunks(spark, d), n)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -159,8 +158,12 @@ def rrf_fuse(spark, d):
     return fused.select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), "fused_pos", F.round("cosine", 6).alias("cosine"))
 
 
+def _corpus(spark, d) -> search.Corpus:
+    return search.Corpus(_chunks(spark, d), table(spark, d, "files"))
+
+
 def _evidence(spark, d, semantic: bool = False):
-    return search.candidates(_prompts(spark, d), _chunks(spark, d), table(spark, d, "files"), CONFIG, semantic)
+    return search.candidates(_prompts(spark, d), _corpus(spark, d), CONFIG, semantic)
 
 
 def evidence(spark, d):
@@ -199,16 +202,12 @@ def prompt_filter(spark, d):
 
 def inject_block(spark, d):
     """F8, R10, K4 with lexical search."""
-    return search.inject(table(prepare(spark), d, "prompts"), _chunks(spark, d), table(spark, d, "files"), CONFIG, semantic=False)
+    return search.inject(table(prepare(spark), d, "prompts"), _corpus(spark, d), CONFIG, semantic=False)
 
 
 def result_rows(spark, d):
     """K5, K6: results as a caller is shown them."""
-    rows = search.search(_prompts(spark, d), _chunks(spark, d), table(spark, d, "files"), CONFIG, semantic=False).results
-    return rows.select(
-        "query_id", "rank", "path", F.concat_ws("-", "start_line", "end_line").alias("lines"), F.format_string("%.3f", "score").alias("score"),
-        F.format_string("%.2f", "coverage").alias("coverage"), F.substring("text", 1, 1200).alias("preview"),
-    )
+    return search.shown(search.search(_prompts(spark, d), _chunks(spark, d), table(spark, d, "files"), CONFIG).results)
 
 
 def chunk_lines(spark, d):
@@ -542,8 +541,10 @@ SQL: dict[str, str] = {
     "hybrid_search": _HYBRID_SEARCH + """select c.query_id, c.rank::int as rank, c.chunk_id, s.path, round(s.score, 6) as score
         from chosen c join cutrows s on s.query_id = c.query_id and s.chunk_id = c.chunk_id""",
     "inject_block": _INJECT,
-    "result_rows": _SEARCH + """select query_id, rank::int as rank, path, concat_ws('-', start_line, end_line) as lines, printf('%.3f', round(score, 3)) as score,
-        printf('%.2f', round(coverage, 2)) as coverage, substr(text, 1, 1200) as preview from res""",
+    "result_rows": _HYBRID_SEARCH + """select c.query_id, c.rank::int as rank, s.path, concat_ws('-', s.start_line, s.end_line) as lines,
+        printf('%.3f', round(s.score, 3)) as score, case when s.cosine is not null then printf('%.3f', round(s.cosine, 3)) end as cosine,
+        printf('%.2f', round(s.coverage, 2)) as coverage, substr(s.text, 1, 1200) as preview
+        from chosen c join cutrows s on s.query_id = c.query_id and s.chunk_id = c.chunk_id""",
     "chunk_lines": _CHUNK_LINES,
     "lexical_search": _SEARCH + "select query_id, rank::int as rank, chunk_id, path, round(score, 6) as score from res",
     "prompt_filter": f"""

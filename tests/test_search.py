@@ -133,6 +133,8 @@ def test_index_lives_through_changes(spark, tmp_path):
     assert not index.is_stale() and index.status().first().files == 3
     asked = spark.createDataFrame([(1, "roll forward deployment")], "query_id long, query string")
     assert index.search(asked).results.first().path == "docs/deployment.md"
+    names = index.files_by_path(spark.createDataFrame([("r", "src/auth/session.ts"), ("r", "gone.md")], "root string, path string")).collect()
+    assert {(r.path, r.chunk_count) for r in names} == {("src/auth/session.ts", 1), ("gone.md", None)}
     other = RetrievalIndex(spark, str(tmp_path / "index"), dim=10)
     with pytest.raises(ValueError):
         other.index(rows(DOCS))
@@ -168,12 +170,109 @@ def test_best_scores_are_the_top_of_all_scores_either_way(spark, monkeypatch):
     rows = lambda df: sorted((r.query_id, r.pos, r.chunk_id, round(r.bm25, 9)) for r in df.collect())
     expected = rows(bm25.top(bm25.score(queries, analysed), 4))
     assert len(expected) == 12
+    assert rows(bm25.top_scores(queries, chunks, 4)) == expected
     monkeypatch.setattr(bm25, "LIST_ROWS", 7)
     monkeypatch.setattr(bm25, "QUERY_ROWS", 2)
-    assert rows(bm25.top_scores(queries, analysed, 4)) == expected
+    assert rows(bm25.top_scores(queries, chunks, 4)) == expected
     monkeypatch.setattr(bm25, "ASKED_BOUND", 0)
-    assert rows(bm25.top_scores(queries, analysed, 4)) == expected
-    assert bm25.top_scores(queries.where("false"), analysed, 4).count() == 0
+    assert rows(bm25.top_scores(queries, chunks, 4)) == expected
+    assert bm25.top_scores(queries.where("false"), chunks, 4).count() == 0
+
+
+def test_search_over_the_stored_index_equals_search_over_the_tables(spark, tmp_path):
+    words = "apple pear plum fig kiwi lime date sloe getUserName half_done".split()
+    text = lambda i: "\n".join(" ".join(words[(i * 7 + j * k) % 10] for j in range(12)) for k in range(1, 90 + i % 40))
+    rows = lambda ids, extra="": spark.createDataFrame([("r", f"d/f{i}.md", text(i) + extra, 10, 1.0) for i in ids], "root string, path string, text string, size long, mtime double")
+    asked = spark.createDataFrame([(1, "plum fig getUserName"), (2, "half_done kiwi"), (3, ""), (4, "user name apple?"), (5, "nothing here")], "query_id long, query string")
+    index = RetrievalIndex(spark, str(tmp_path / "index"))
+    index.index(rows(range(12)))
+    index.index(rows(range(3, 5), " kiwi half_done"))
+    index.delete(index.files.where("path = 'd/f7.md'").select("file_id"))
+    assert [bool(s["gone"]) for s in index.manifest["segments"]] == [False, True, True] and index.files.count() == 11
+
+    def same(*ways):
+        for semantic in ways:
+            stored, plain = index.search(asked, semantic=semantic), search.search(asked, index.chunks, index.files, semantic=semantic)
+            rows = lambda df: sorted((r.query_id, r.rank, r.path, r.start_line, round(r.score, 9)) for r in df.collect())
+            got = rows(stored.results)
+            assert got == rows(plain.results) and len(got) > 5
+            assert sorted(stored.status.collect()) == sorted(plain.status.collect())
+
+    same(True)
+    index.merge()
+    assert len(index.manifest["segments"]) == 1 and index.manifest["chunks"] == index.chunks.count()
+    same(False)
+    left = {p.name for p in (tmp_path / "index").iterdir() if not p.name.startswith(".")}
+    assert len([n for n in left if n.startswith("manifest")]) == 2
+    assert index.inject(spark.createDataFrame([(1, "where is the plum and the fig?")], "prompt_id long, prompt_text string"), semantic=False).count() == 1
+
+
+def test_a_change_leaves_stored_segments_alone_and_a_second_writer_out(spark, tmp_path):
+    at = tmp_path / "index"
+    index = RetrievalIndex(spark, str(at))
+    rows = lambda docs: spark.createDataFrame([("r", p, t, 1, 1.0) for p, t in docs.items()], "root string, path string, text string, size long, mtime double")
+    index.index(rows(DOCS))
+    first = {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet")}
+    index.refresh(rows(DOCS | {"docs/onboarding.md": "# Changed"}))
+    assert all(p.stat().st_mtime_ns == t for p, t in first.items())
+    before = index.manifest
+    index.exclude(add=("docs/**", "*.min.js"))
+    assert index.exclude(remove=("docs/**", "absent")) == ("*.min.js",) and index.track(add=("/a", "/b", "/a")) == ("/a", "/b")
+    with pytest.raises(RuntimeError):
+        index._publish(before, chunks=0)
+    assert index.config.exclude_patterns == ("*.min.js",) and index.set("topK", "7").top_k == 7
+    twice = rows(DOCS).unionByName(rows({"docs/deployment.md": "newer"}).withColumn("mtime", F.lit(2.0))).unionByName(rows({"docs/onboarding.md": DOCS["docs/onboarding.md"]}))
+    assert index.index(twice) == {"indexed": 2, "unchanged": 2, "skipped": 0, "chunks": 2}
+    assert index.files.count() == 4 and index.chunks.where("text = 'newer'").count() == 1
+
+
+def test_a_failing_model_leaves_lexical_search(spark, tables):
+    queries = spark.createDataFrame(QUESTIONS, "query_id long, query string")
+
+    def broken(texts):
+        raise OSError("no model here")
+
+    with pytest.warns(UserWarning, match="lexical search only"):
+        found = search.search(queries, *tables, model=broken)
+    plain = search.search(queries, *tables, semantic=False)
+    rows = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.score, r.cosine) for r in df.collect())
+    assert rows(found.results) == rows(plain.results)
+
+
+def test_prefixes_reach_the_model(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "ab"), (2, None)], "i long, text string")
+    got = vector.embed(df, "i", lambda texts: np.array([[len(t), 1.0] for t in texts]), prefix="query: ").orderBy("i").collect()
+    assert [r.vec for r in got] == [[9.0, 1.0], [7.0, 1.0]]
+
+
+def test_results_as_rows_and_as_json(spark, tables):
+    import json
+
+    queries = spark.createDataFrame(QUESTIONS[:5], "query_id long, query string")
+    results = search.search(queries, *tables).results
+    rows = {r.query_id: r for r in search.shown(results, 20).where("rank = 1").collect()}
+    assert rows[4].lines == "1-3" and len(rows[4].preview) == 20 and rows[4].cosine == f"{float(rows[4].cosine):.3f}"
+    shown = {r.query_id: json.loads(r.json) for r in search.as_json(results).collect()}
+    assert shown[4][0]["path"] == "docs/deployment.md" and [x["rank"] for x in shown[4]] == list(range(1, len(shown[4]) + 1))
+
+
+def test_payloads_become_prompts(spark):
+    lines = ['{"prompt": "how to roll back?", "cwd": "/a"}', '{"user_prompt": "second way"}', '{"prompt": null}', "no json", None, '{"prompt": "p", "user_prompt": "u"}']
+    df = spark.createDataFrame(list(enumerate(lines)), "prompt_id long, payload string")
+    assert {(r.prompt_id, r.prompt_text, r.cwd) for r in inject.prompts_of(df).collect()} == {(0, "how to roll back?", "/a"), (1, "second way", None), (5, "p", None)}
+
+
+def test_a_stream_of_changes_is_taken_up_once(spark, tmp_path):
+    from granary.streaming.refresh import index_stream
+
+    rows = spark.createDataFrame([("r", p, t, 1, 1.0) for p, t in DOCS.items()], "root string, path string, text string, size long, mtime double")
+    rows.write.parquet(str(tmp_path / "in"))
+    index = RetrievalIndex(spark, str(tmp_path / "index"))
+    for folder in ("c1", "c2"):  # all is delivered a second time
+        index_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), index, str(tmp_path / folder)).awaitTermination()
+    assert index.files.count() == 4 and len(index.manifest["segments"]) == 1
 
 
 def test_unchanged_files_are_rebuilt_from_all_their_chunks(spark):
