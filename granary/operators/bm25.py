@@ -111,11 +111,34 @@ def lengths(analysed: DataFrame) -> DataFrame:
     return analysed.select("chunk_id", F.size("index_tokens").cast("bigint").alias("dl"))
 
 
+_DOTTED = re.compile(T.DOTTED)
+_NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_RARE = re.compile(r"[_0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]|.{12}")
+_STOP = frozenset(T.STOPWORDS)
+
+
+def query_parts(text: str, analyser: Analyser) -> tuple[list[str], list[str]]:
+    """A query's content terms and rare identifiers, as ``functions.text`` defines them."""
+    terms = dict.fromkeys(map(_stem, analyser.tokens(text)))
+    rare = [w for w in WORDS.findall(text) if _RARE.search(w) and w.lower() not in _STOP]
+    names = [w for w in _DOTTED.findall(text) if len(w) >= 4 and not _NUMBER.fullmatch(w)]
+    return [t for t in terms if t not in _STOP], list(dict.fromkeys(rare + names))
+
+
 def analyse_queries(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
-    """(query_id, query, content, ids): content terms and rare identifiers of each query."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), text.alias("query"))
-    return rows.select("query_id", "query", T.content_terms(T.query_terms("query")).alias("content"), T.identifiers("query").alias("ids"))
+    """(query_id, query, content, ids): content terms and rare identifiers of each query; a null query counts as empty."""
+
+    def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyser = Analyser()
+        for batch in batches:
+            parts = [query_parts(t, analyser) for t in batch.column("query").to_pylist()]
+            columns = [*batch.columns, pa.array([p[0] for p in parts], _STRINGS), pa.array([p[1] for p in parts], _STRINGS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "query", "content", "ids"])
+
+    rows = queries.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("query_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("query")
+    )
+    return rows.mapInArrow(analyse, "query_id bigint, query string, content array<string>, ids array<string>")
 
 
 def _phrase_postings(phrases: DataFrame, analysed: DataFrame) -> DataFrame:
@@ -303,7 +326,7 @@ def top_scores(queries: DataFrame, chunks: DataFrame, n: int, source=None) -> Da
     pairs take the joins of ``score``; the rows are the same.
     """
     asked = _asked(queries).select(F.col("query_id").cast("bigint").alias("query_id"), "key")
-    asked = keep(asked.groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("times")))
+    asked = asked.groupBy("query_id", "key").agg(F.count(F.lit(1)).alias("times"))
     if asked.count() > ASKED_BOUND:
         return top(score(queries, keep(analyse_chunks(chunks))), n)
     wanted = Wanted(asked.orderBy("key", "query_id").collect())

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators.bm25 import WORDS, Analyser, top
-from granary.plans.runtime import keep
 
 DIM = 384
 EMBED_ROWS = 1000  # texts that a model is given at once
@@ -92,7 +91,7 @@ def _common_dim(queries: DataFrame, vectors: DataFrame) -> int:
 
 def _query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The stated queries in blocks of bounded size; a larger set means more scans."""
-    most, queries = max(1, QUERY_BLOCK // max(dim, 1)), keep(queries)
+    most = max(1, QUERY_BLOCK // max(dim, 1))
     few = queries.count() <= most
     rows = []
     for row in queries.collect() if few else queries.toLocalIterator():

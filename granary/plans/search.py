@@ -51,7 +51,7 @@ class Corpus:
         return rows.withColumn("vec", F.lit(None).cast("array<float>"))
 
     def _of(self, ids: DataFrame, *columns: str) -> DataFrame:
-        few = ids.count() <= FEW_IDS
+        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
         rows = self.chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), *columns[1:])
         return rows.join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi")
 
@@ -74,8 +74,7 @@ def candidates(queries: DataFrame, corpus: Corpus, config: Config, semantic: boo
         except Exception as problem:  # whatever ails the model, its dimension included
             warnings.warn(f"lexical search only, the model failed: {str(problem)[:200]}", stacklevel=2)
     fused = keep(ranking.fuse(lexical, close, config.rrf_k, n))
-    ids = keep(fused.select("chunk_id").distinct())
-    details = keep(corpus.details(ids, close is not None))
+    details = keep(corpus.details(fused.select("chunk_id").distinct(), close is not None))
     paths = corpus.files.select("file_id", "path", T.base_name("path").alias("base")).dropDuplicates(["file_id"])
     paths = paths.join(details.select("file_id").distinct(), "file_id", "left_semi")
     paths = bm25.with_tokens(paths, "base").drop("index_tokens").withColumnRenamed("tokens", "base_tokens")

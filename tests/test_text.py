@@ -100,3 +100,11 @@ def test_hash_bucket_matches_python(spark):
         h = hashlib.md5(word.encode()).digest()
         row = spark.range(1).select(T.hash_bucket(F.lit(word)), T.hash_sign(F.lit(word))).first()
         assert tuple(row) == (int.from_bytes(h[:4], "little") % 384, 1.0 if h[4] & 1 else -1.0)
+
+
+def test_queries_are_analysed_as_the_columns_say(spark):
+    texts = ["how does getUserName work?", "see config.yaml and v1.2.3 or 1.2.3", "STRIPE_KEY the themselves _ a1 internationalisation", "", "Déjà_vu weddings verified", "the HTTPServer2 http.server x.y a.b1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    got = {r.query_id: (r.content, r.ids) for r in bm25.analyse_queries(df).collect()}
+    want = df.select("query_id", T.content_terms(T.query_terms("query")).alias("content"), T.identifiers("query").alias("ids")).collect()
+    assert got == {r.query_id: (r.content, r.ids) for r in want}
