@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +17,8 @@ PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers find this package, and give checkpoints a folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-    that is unset (tests on one machine) a folder of our own is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
+    is unset and all runs on one machine a folder of our own is made; elsewhere it is an error.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -24,6 +26,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_PARENT, *paths])
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="granary-checkpoint-"))
     return spark
 
@@ -37,24 +41,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables kept inside, to be given to ``free`` when their readers are done."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared checkpoint folder and read it back.
 
     Like ``cut``, but columnar and compressed; for results that are read more than once.
-    The table goes when the session's process ends.
+    The table goes with ``free``, or when the session's process ends.
     """
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext.getCheckpointDir()}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(free, spark, [path])
+    for paths in _collecting:
+        paths.append(path)
     return spark.read.parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def free(spark: SparkSession, paths: list[str]) -> None:
+    """Removes kept tables."""
     try:
         jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        for path in paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session may be gone already; the folder is the cluster's scratch space
         pass
 

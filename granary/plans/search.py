@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +12,24 @@ from granary.config import Config
 from granary.functions import text as T
 from granary.operators import bm25, ranking, vector
 from granary.operators.inject import blocks, eligible_prompts
-from granary.plans.runtime import keep
+from granary.plans.runtime import collected, free, keep
 
 FEW_IDS = 500_000  # candidate ids that are broadcast to fetch their rows, counted first: 4 MB; more are shuffled
 
 
 @dataclass
 class Searched:
-    """What a search gives: ranked results, and one row of status for every query."""
+    """What a search gives: ranked results, and one row of status for every query.
+
+    ``close`` removes the tables that both are read from; a long-lived session closes what it has read.
+    """
 
     results: DataFrame
     status: DataFrame
+    kept: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        free(self.status.sparkSession, self.kept)
 
 
 class Corpus:
@@ -90,8 +97,9 @@ def candidates(queries: DataFrame, corpus: Corpus, config: Config, semantic: boo
 
 def search_corpus(queries: DataFrame, corpus: Corpus, config: Config, semantic: bool = True) -> Searched:
     """Results of every query over a corpus, see ``search``."""
-    asked, evidence, details = candidates(queries, corpus, config, semantic)
-    evidence = keep(evidence)
+    with collected() as kept:
+        asked, evidence, details = candidates(queries, corpus, config, semantic)
+        evidence = keep(evidence)
     gated = evidence.where(ranking.gate(config))
     scored = ranking.cutoff(gated.withColumn("score", ranking.score(config)), config.relative_threshold)
     chosen = ranking.diversify(scored.join(details.select("chunk_id", "vec"), "chunk_id"), config, vectors=semantic)
@@ -109,7 +117,7 @@ def search_corpus(queries: DataFrame, corpus: Corpus, config: Config, semantic:
         F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
         F.coalesce("n_gated", F.lit(0)).alias("n_gated"),
     )
-    return Searched(results, status)
+    return Searched(results, status, kept)
 
 
 def search(queries: DataFrame, chunks: DataFrame, files: DataFrame, config: Config | None = None, semantic: bool = True, model: vector.Embedder | None = None) -> Searched:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +197,41 @@ def hybrid_search(spark, d):
     return _shown(search.search(_prompts(spark, d), _chunks(spark, d), table(spark, d, "files"), CONFIG))
 
 
+def _listing(docs: DataFrame) -> DataFrame:
+    """Documents as files of one root, by their ids."""
+    return docs.select(F.lit("documents").alias("root"), F.col("doc_id").cast("string").alias("path"), "text", F.length("text").alias("size"), F.lit(0.0).alias("mtime"))
+
+
+def _new_index(spark) -> index.RetrievalIndex:
+    return index.RetrievalIndex(spark, f"{prepare(spark).sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}")
+
+
+def index_build(spark, d):
+    """The files of an index built over all documents."""
+    built = _new_index(spark)
+    built.index(_listing(table(prepare(spark), d, "documents")))
+    return built.files.select("path", "hash", "chunk_count")
+
+
+def _refreshed(spark, d) -> tuple[index.RetrievalIndex, dict]:
+    """An index of all documents, each hundredth with another text, then refreshed with what they are now, each fiftieth gone."""
+    docs, built = table(prepare(spark), d, "documents"), _new_index(spark)
+    built.index(_listing(docs.withColumn("text", F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit("\nlater"))).otherwise(F.col("text")))))
+    return built, built.refresh(_listing(docs.where("doc_id % 50 <> 1")))
+
+
+def index_refresh(spark, d):
+    """The files of the refreshed index."""
+    return _refreshed(spark, d)[0].files.select("path", "hash", "chunk_count")
+
+
+def index_changes(spark, d):
+    """What the refresh counted, beside what the index then holds."""
+    built, counts = _refreshed(spark, d)
+    held = built.files.agg(F.count(F.lit(1)).alias("files"), F.sum("chunk_count").alias("held_chunks"))
+    return held.select("files", "held_chunks", *(F.lit(counts[k]).cast("bigint").alias(k) for k in ("indexed", "unchanged", "skipped", "removed", "chunks")))
+
+
 def prompt_filter(spark, d):
     rows = table(prepare(spark), d, "prompts").select("prompt_id", "prompt_text")
     return inject.eligible_prompts(rows, CONFIG)
@@ -241,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tok_raw, tok_parts, tok_stream, stem_terms, query_terms, query_identifiers, content_hash, unchanged_files,
-        missing_files, files_in_order, store_stats, index_counters, term_df, doc_len, bm25_topn, bm25_phrase,
+        missing_files, index_build, index_refresh, index_changes, files_in_order, store_stats, index_counters, term_df, doc_len, bm25_topn, bm25_phrase,
         vector_topn, hash_embedding, rrf_fuse, evidence, gate_counts, score_cutoff, lexical_search, hybrid_search,
         prompt_filter, inject_block, result_rows, chunk_lines, chunk_break_points, html_to_markdown, ext_filter, exclude_filter,
     )
@@ -423,6 +460,8 @@ _CHUNK_LINES = f"""
 """
 
 
+_COUNTED = f"""counted as (select doc_id, count(*)::int as chunk_count from ({_CHUNK_LINES}) group by doc_id),
+    held as (select d.doc_id, d.doc_id::varchar as path, sha1(d.text) as hash, c.chunk_count from documents d join counted c on c.doc_id = d.doc_id)"""
 _SEARCH = f"with {_TOKENS_CTE}, {_queries_cte(_PROMPT_SOURCE)}, {_IDS}, {_BM25}, {_EVIDENCE} "
 _HYBRID_EV = _EVIDENCE[_EVIDENCE.index("cov as") : _EVIDENCE.index("gated as")].rstrip().rstrip(",")
 _HYBRID_SEARCH = (
@@ -500,6 +539,13 @@ SQL: dict[str, str] = {
         with l as (select *, max(logged_at) over (partition by root_id) as last from index_log)
         select file_id, root_id, path from files where root_id in (select root_id from roots where tracked_at is not null)
         and file_id not in (select file_id from l where file_id is not null and logged_at >= last - interval 30 days)""",
+    "index_build": f"with {_COUNTED} select path, hash, chunk_count from held",
+    "index_refresh": f"with {_COUNTED} select path, hash, chunk_count from held where doc_id % 50 <> 1",
+    "index_changes": f"""with {_COUNTED}
+        select count(*) filter (doc_id % 50 <> 1) as files, (sum(chunk_count) filter (doc_id % 50 <> 1))::bigint as held_chunks,
+               count(*) filter (doc_id % 50 <> 1 and doc_id % 100 = 0) as indexed, count(*) filter (doc_id % 50 <> 1 and doc_id % 100 <> 0) as unchanged,
+               (select count(*) from documents where doc_id % 50 <> 1 and doc_id not in (select doc_id from held)) as skipped,
+               count(*) filter (doc_id % 50 = 1) as removed, coalesce(sum(chunk_count) filter (doc_id % 100 = 0), 0)::bigint as chunks from held""",
     "files_in_order": "select path, root_id, file_id, size from files order by path, root_id",
     "store_stats": """
         select (select count(*) from files) as files, count(*) as chunks, count(vec) as vectors,
