@@ -87,11 +87,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(*tables)
 
 
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Five folds of the graded documents, each judged by the grades of the other four."""
+    tables = (table(prepare(spark), d, name) for name in ("documents", "reading_grades", "benchmark"))
+    return reading.held_out(*tables)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_neighbours, p2_found, p2_redacted, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_groups,
-        p5_found, p5_labels, p5_moved, p6_ids, p7_found, p8_found,
+        p5_found, p5_labels, p5_moved, p6_ids, p7_found, p8_found, p8_held_out,
     )
 }
 

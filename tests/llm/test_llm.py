@@ -312,6 +312,35 @@ def test_reading_levels_follow_the_grades(spark):
     assert got == {i: 1 if i % 2 else 4 for i in range(40)}
     assert reading.reading_levels(d.where("false"), g).count() == 0
     assert reading.reading_levels(d, g.where("false")).count() == 40
+    folds = reading.held_out(d, g).collect()
+    assert sum(r.n for r in folds) == 20 and sum(r.hits for r in folds) >= 19
+
+
+FOREIGN = {
+    "nl": "Wij hebben een nieuwe versie van het programma gemaakt die was getest in de zomer. Alle gebruikers kunnen de instellingen in het menu wijzigen. ",
+    "sv": "Vi har en ny version av programmet som var testad under sommaren. Alla kan se att det var en fin dag i den staden. ",
+    "pt": "Este documento descreve como configuramos o servidor na nuvem e o dia foi bom a todos. As pessoas podem mudar as opções do menu a qualquer hora. ",
+}
+
+
+def test_languages_that_no_list_knows_are_no_english(spark):
+    rng = random.Random(14)
+    words = "the a this that of and to in for with user server window report section update change which should can open save before after while new small every team page value service system".split()
+    text = lambda: " ".join(" ".join(rng.choice(words) for _ in range(10)).capitalize() + "." for _ in range(14))
+    docs = [(i, text(), ("en", "EN", "eng", None)[i % 4]) for i in range(60)] + [(100 + k, t * 12, "en" if k else None) for k, t in enumerate(FOREIGN.values())]
+    d = spark.createDataFrame([*docs[:60], (100, docs[60][1], None), (101, docs[61][1], "sv"), (102, docs[62][1], "unknown")], "doc_id long, text string, lang string")
+    got = {r.doc_id for r in reading.document_features(d).collect()}
+    assert got == set(range(60))
+    assert {r.doc_id for r in reading.document_features(d.drop("lang")).collect()} >= set(range(60))
+
+
+def test_hot_words_are_ranked_apart(spark, monkeypatch):
+    docs = [(i, "The cat and the dog see the map of a town. " * 12 + f"Some rare{i} words here. ") for i in range(12)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(reading.document_features(d).collect())
+    monkeypatch.setattr(reading, "BROADCAST_WORDS", 3)
+    monkeypatch.setattr(reading, "HOT_WORDS", 5)
+    assert sorted(reading.document_features(d).collect()) == want and len(want) == 12
 
 
 def test_values_led_by_a_slash_are_paths_only_in_lower_case_words():
