@@ -85,7 +85,9 @@ def candidates(queries: DataFrame, corpus: Corpus, config: Config, semantic: boo
     paths = corpus.files.select("file_id", "path", T.base_name("path").alias("base")).dropDuplicates(["file_id"])
     paths = paths.join(details.select("file_id").distinct(), "file_id", "left_semi")
     paths = bm25.with_tokens(paths, "base").drop("index_tokens").withColumnRenamed("tokens", "base_tokens")
-    rows = fused.join(details.drop("vec"), "chunk_id").join(paths, "file_id").join(able.select("query_id", "content", "ids"), "query_id")
+    # narrow rows meet first; texts and tokens, the wide ones, move once and are done with where they arrive
+    rows = fused.join(details.select("chunk_id", "file_id", "start_line", "end_line"), "chunk_id").join(paths, "file_id")
+    rows = rows.join(able.select("query_id", "content", "ids"), "query_id").join(details.select("chunk_id", "text", "tokens"), "chunk_id")
     evidence = rows.select(
         "query_id", "chunk_id", "path", "start_line", "end_line", "rrf", "fused_pos", "cosine",
         T.token_coverage("content", "tokens").alias("coverage"),
