@@ -10,6 +10,8 @@ each level of the trees is one grouped aggregation and one join over all trees.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +40,11 @@ SAYS_VENDORED = (
     r"copied from \S+@|vendored from|part of \w+ v\d|upstream (?:release|tarball|source|version)|project contributors"
     r"|imported (?:as is|unchanged|verbatim)|local changes: ?(?:none|\w+)"
 )
+# Every text that says so holds one of these, in lower case; texts without any are not searched further.
+HINTS = (
+    ("do not edit", "do not modify", "do not change", "generated", "nicht bearbeiten", "ne pas modifier", "no editar", "changes will be lost", "regenerate with"),
+    ("copied from ", "vendored from", "part of ", "upstream ", "project contributors", "imported ", "local changes:"),
+)
 SAYS_BUNDLED = r"/\*!|@license|//[#@] ?sourceMappingURL="
 VENDORED_DIRS = (
     r"node_modules|bower_components|third[_-]?party|site-packages|dist-packages|pods|carthage|external|externals|deps|vendored"
@@ -59,11 +66,12 @@ NO_ORD = 1 << 40  # where a chunk without an ord is put
 # Closed comments and blank lines, one after the other; an opening mark that then follows is never closed in the text.
 _CLOSED = r"(?:\s++|\uFEFF|/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'{3}.*?'{3}|(?://|#|--|;|\*)[^\n]*+)*+"
 _OPENING, _CLOSING = r"(?:/\*|<!--|\"\"\"|'{3})", r"(?:\*/|-->|\"\"\"|'{3})"
+_INSIDE = rf"(?:[^*\-\"']++|(?!{_CLOSING}).)*+(?:\z|{_CLOSING}{_CLOSED}"  # to the end of a comment begun before the text
 LEADS = (  # the leading comments of a text that starts outside a comment, and of one that starts inside
     rf"(?s)\A{_CLOSED}(?:{_OPENING}.*)?",
-    rf"(?s)\A(?:(?!{_CLOSING}).)*+(?:\z|{_CLOSING}{_CLOSED}(?:{_OPENING}.*)?)",
+    rf"(?s)\A{_INSIDE}(?:{_OPENING}.*)?)",
 )
-STAYS_OPEN = (rf"(?s)\A{_CLOSED}{_OPENING}", rf"(?s)\A(?:(?!{_CLOSING}).)*+(?:\z|{_CLOSING}{_CLOSED}{_OPENING})")
+STAYS_OPEN = (rf"(?s)\A{_CLOSED}{_OPENING}", rf"(?s)\A{_INSIDE}{_OPENING})")
 
 
 def _each(name: str) -> list[Column]:
@@ -74,7 +82,15 @@ def _each(name: str) -> list[Column]:
 def _text_evidence(chunks: DataFrame) -> DataFrame:
     """(f, sums over all texts of a file, where its texts say what it is)."""
     t = F.col("text")
-    lines = F.regexp_replace(t, r"(?m)^.{0,%d}$" % (LONG_LINE - 1), "")  # what stays are the long lines
+    # what several columns read is computed first, in a projection of its own
+    chunks = chunks.select(
+        "*",
+        F.regexp_replace(t, r"(?m)^.{0,%d}$" % (LONG_LINE - 1), "").alias("_lines"),  # what stays are the long lines
+        F.lower(t).alias("_low"),
+        *(F.regexp_extract(t, lead, 0).alias(f"_lead_{i}") for i, lead in enumerate(LEADS)),
+    )
+    chunks = chunks.select("*", *(reduce(or_, (F.contains("_low", F.lit(hint)) for hint in hints)).alias(f"_may_{i}") for i, hints in enumerate(HINTS)))
+    lines, leads = F.col("_lines"), [F.col("_lead_0"), F.col("_lead_1")]
     kept = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
     line = r"(?im)^" + COMMENT + r"[^\n]*?(?:{})"
     in_head = r"(?is)\A(?:[^\n]*\n){{0,14}}?" + COMMENT + r"[^\n]*?(?:{})"
@@ -82,13 +98,14 @@ def _text_evidence(chunks: DataFrame) -> DataFrame:
     # of a leading block comment every line speaks, of a leading docstring only what its first line says
     in_lead = r"(?im)^(?:" + COMMENT + r"|[ \t]*+(?!\"\"\"|'{{3}}))[^\n]*?(?:{})"
     docstrings = lambda x: F.regexp_replace(x, r"(?s)(\"\"\"|'{3})([^\n]*+)\n.*?(?:\1|\z)", "$1$2\n")
-    both = lambda x, pattern: F.array(*(x.rlike(pattern.format(says)) for says in (SAYS_GENERATED, SAYS_VENDORED)))
-    leads = [F.regexp_extract(t, lead, 0) for lead in LEADS]
+    says = ((F.col("_may_0"), SAYS_GENERATED), (F.col("_may_1"), SAYS_VENDORED))
+    both = lambda x, pattern: F.array(*(F.when(hinted, x.rlike(pattern.format(said))).otherwise(False) for hinted, said in says))
+    whole = [F.length(x) == F.length(t) for x in leads]
     marks = F.struct(
         both(t, in_head).alias("head"),
         F.array(*(both(docstrings(x), in_lead) for x in leads)).alias("lead"),  # by whether the text starts inside a comment
-        F.array(*(F.length(x) == F.length(t) for x in leads)).alias("whole"),
-        F.array(*(t.rlike(x) for x in STAYS_OPEN)).alias("open"),
+        F.array(*whole).alias("whole"),
+        F.array(*(F.when(all_of_it, t.rlike(x)).otherwise(False) for all_of_it, x in zip(whole, STAYS_OPEN))).alias("open"),
         both(t, line + to_end).alias("tail"),
         both(t, line).alias("any"),
     )
