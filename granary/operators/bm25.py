@@ -203,6 +203,9 @@ class Wanted:
             asked[code][1].append(float(r.times))
         self.asked = [(np.array(a), np.array(t)) for a, t in asked]
         self.phrases = {key: [p for p in key.split("_") if p] for key in self.codes if key.startswith("_")}
+        self.begun: dict[tuple[str, str], list[tuple[str, list[str]]]] = {}  # phrases by their first two parts
+        for key, own in self.phrases.items():
+            self.begun.setdefault((own[0], own[1]), []).append((key, own))
 
     @property
     def parts(self) -> set[str]:
@@ -225,7 +228,8 @@ def _count_wanted(shared):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: Wanted = shared.value
-        codes, parts = wanted.codes, wanted.parts
+        codes, parts, begun = wanted.codes, wanted.parts, wanted.begun
+        beginnings = frozenset(begun)
         analyser, known = Analyser(), {}
 
         def entry(word: str) -> tuple[int, list[int], list[str]]:
@@ -248,13 +252,13 @@ def _count_wanted(shared):
                         tf[code] = tf.get(code, 0) + times
                     present.update(e[2])
                 if present:
-                    stream = None
-                    for key, own in wanted.phrases.items():
-                        if present.issuperset(own):
-                            stream = stream or index_tokens(analyser.tokens(text))
-                            found = occurrences(stream, own)
-                            if found:
-                                tf[codes[key]] = found
+                    stream = index_tokens(analyser.tokens(text))
+                    for pair in beginnings.intersection(zip(stream, stream[1:])):
+                        for key, own in begun[pair]:
+                            if present.issuperset(own):
+                                found = occurrences(stream, own)
+                                if found:
+                                    tf[codes[key]] = found
                 dl.append(n)
                 keys.append(list(tf))
                 tfs.append(list(tf.values()))

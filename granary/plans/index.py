@@ -342,6 +342,7 @@ class StoredCorpus(searching.Corpus):
     def __init__(self, index: RetrievalIndex):
         self.index, self.manifest = index, index.manifest
         super().__init__(index._live("chunks", self.manifest), index._live("files", self.manifest), index.model, load_config(self.manifest["config"]))
+        self.dim = None  # what is stored may be of another model
 
     def matched(self, wanted: bm25.Wanted) -> tuple[DataFrame, int, float]:
         """From the postings of the wanted terms alone."""

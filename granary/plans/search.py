@@ -41,6 +41,7 @@ class Corpus:
     def __init__(self, chunks: DataFrame, files: DataFrame, model: vector.Embedder | None = None, config: Config | None = None):
         self.chunks, self.files = chunks, files
         self.model, self.config = model or vector.HashEmbedder(), config or Config()
+        self.dim: int | None = getattr(self.model, "dim", None)  # of queries and chunks alike, if the model says it
 
     def matched(self, wanted: bm25.Wanted) -> tuple[DataFrame, int, float]:
         """What each chunk holds of the wanted terms, see ``bm25.matched``."""
@@ -77,7 +78,7 @@ def candidates(queries: DataFrame, corpus: Corpus, config: Config, semantic: boo
     if semantic:
         try:
             q = keep(vector.embed(able, "query_id", corpus.model, "query", config.query_prefix))
-            close = keep(vector.top_cosines(q, corpus.vectors(), n, None, "query_id", "chunk_id"))
+            close = keep(vector.top_cosines(q, corpus.vectors(), n, corpus.dim, "query_id", "chunk_id"))
         except Exception as problem:  # whatever ails the model, its dimension included
             warnings.warn(f"lexical search only, the model failed: {str(problem)[:200]}", stacklevel=2)
     fused = keep(ranking.fuse(lexical, close, config.rrf_k, n))
