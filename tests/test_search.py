@@ -317,3 +317,23 @@ def test_html_query_keeps_documents_led_by_a_byte_order_mark(spark, tmp_path):
     rows = [(1, "\ufeff<html><body><h1>A</h1><p>b</p></body></html>"), (2, "<ul><li>x</li></ul>"), (3, "plain")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in queries.html_to_markdown(spark, str(tmp_path)).collect()} == {(1, "# A\n\nb"), (2, "*   x")}
+
+
+def test_phrases_are_counted_as_brute_force_says(spark):
+    texts = ["a_bc bc_bc", "bc bc bc bc_bc", "AbcDe_fg de fg de_fg_de", "", None, "x", "fg_de fg", "de_fg de_fg de fg hi"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "bc_bc de_fg"), (2, "de_fg_de fg_de fg_hi"), (3, "bc")], "query_id long, query string")
+    asked = bm25._asked(bm25.analyse_queries(queries)).selectExpr("key", "query_id", "1 as times").collect()
+    wanted = bm25.Wanted(asked)
+    names = {code: key for key, code in wanted.codes.items()}
+    found, size, _ = bm25.matched(chunks, wanted)
+    got = {(r.chunk_id, names[k], tf) for r in found.collect() for k, tf in zip(r.keys, r.tfs)}
+    expected, analyser = set(), bm25.Analyser()
+    for chunk, text in enumerate(texts):
+        held = bm25.index_tokens(analyser.tokens(text))
+        for key in wanted.codes:
+            parts = [p for p in key.split("_") if p]
+            n = sum(held[i : i + len(parts)] == parts for i in range(len(held)))
+            if n:
+                expected.add((chunk, key, n))
+    assert got == expected and size == len(texts) and len([x for x in got if x[1].startswith("_")]) >= 4
