@@ -228,6 +228,32 @@ def test_near_duplicates_equal_brute_force(spark, list_bound, similarity):
     assert near_duplicates.all_pairs(*near_duplicates.near_duplicates(df.where("false"))).count() == 0
 
 
+def test_texts_and_sets_are_not_moved_for_every_pair(spark, monkeypatch):
+    def written(texts, **options):
+        monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", 0, raising=False)  # as if there were more candidates than that
+        status = spark.sparkContext._jsc.sc().statusStore()
+        df = spark.createDataFrame([*texts.items()], "chunk_id long, text string")
+        before = status.executorList(True).apply(0).totalShuffleWrite()
+        found = pairs_of(near_duplicates.all_pairs(*near_duplicates.near_duplicates(df, **options)))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return found, status.executorList(True).apply(0).totalShuffleWrite() - before
+
+    rng = random.Random(8)
+    texts = {i: " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000)) for i in range(200)}
+    texts |= {200 + i: texts[i] + " again" for i in range(4)}
+    found, size = written(texts)
+    assert found == {(i, 200 + i) for i in range(4)}
+    assert size < 0.3 * sum(map(len, texts.values()))
+
+    texts = {i: f"{i} {rng.getrandbits(64):x} " + texts[0] for i in range(60)}
+    for bound in (64, 8):
+        found, size = written(texts, list_bound=bound)
+        assert len(found) == 60 * 59 // 2
+        assert size < 0.1 * len(found) * 8 * 1000
+    monkeypatch.setattr(near_duplicates, "CELL", 7)
+    assert len(written(texts)[0]) == 60 * 59 // 2
+
+
 def test_files_are_labelled_by_text_path_and_place(spark):
     hand = "def f(x):\n    return x + 1\n" * 5
     files = [
