@@ -21,15 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.leakage import RUN, WuManber, table_of, words_of
-from granary.plans.runtime import keep
+from granary.plans.runtime import collected, free, keep
 
 MIN_WORDS = 100
 SHARE = 0.9
 LEVELS = (1, 2, 3, 4)
 BROADCAST_WORDS = 500_000
 HOT_WORDS = 1_000  # ranks that are always broadcast, as their words have a row in almost every document
-PROFILE_DOCUMENTS = 2_000  # documents labelled English that the profile is fitted on
-PROFILE_LABELS = ("en", "eng", "english")
+PROFILE_LABELS = ("en", "eng", "english")  # of the documents that the profile is fitted on
+STEPS = 4  # decimals of the scores that its floors are taken from
 MARGIN = 0.5  # how far below the profile's own thousandth part a text must lie to count as another language
 ITEM_CHARS = 16_000_000
 
@@ -186,40 +186,76 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(word))]
 
 
-def fit_profile(documents: DataFrame, sample: int = PROFILE_DOCUMENTS) -> Profile | None:
-    """The trigrams of ``sample`` documents whose lang says English, those with the smallest hashes of their ids.
+_READ = "doc_id bigint, english boolean, prose string, grams array<string>, counts array<bigint>"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The English sentences of each document, a line each; a last row has the trigrams of those labelled English."""
+    for batch in batches:
+        rows, counted = [], Counter()
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "english", "text"))
+        for doc, english, text in zip(*columns):
+            sentences = english_sentences(text)
+            if sentences:
+                rows.append((doc, english, "\n".join(map(" ".join, sentences)), None, None))
+                if english:
+                    for words in sentences:
+                        counted.update(words)
+        grams: Counter = Counter()
+        for word, n in counted.items():
+            for g in trigrams(word):
+                grams[g] += n
+        rows.append((None, None, None, list(grams), list(grams.values())))
+        types = (pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "english", "prose", "grams", "counts"]
+        )
+
+
+def read_sentences(documents: DataFrame) -> DataFrame:
+    """What ``_read`` finds in the documents whose id and text are not null; each text is searched once."""
+    lang = F.lower(F.col("lang").cast("string")) if "lang" in documents.columns else F.lit(None).cast("string")
+    docs = documents.select(
+        F.col("doc_id").cast("bigint"), F.coalesce(lang.isin(*PROFILE_LABELS), F.lit(False)).alias("english"), F.col("text").cast("string")
+    )
+    return docs.where("doc_id is not null and text is not null").mapInArrow(_read, _READ)
+
+
+def fit_profile(read: DataFrame) -> Profile | None:
+    """The trigrams of all documents whose lang says English, from what ``read_sentences`` found.
 
     Languages that the word lists do not know share many short words with English, not its
-    letters. A sentence and a document must score no worse than a thousandth of the sample's
-    own, less ``MARGIN``. Without a lang column or such documents there is no profile.
+    letters. A sentence and a document must score no worse than a thousandth of all those
+    documents' own, less ``MARGIN``; scores count in steps of 1e-4, so that a histogram has
+    them all. Without a lang column or such documents there is no profile.
     """
-    if "lang" not in documents.columns:
-        return None
-    rows = documents.where(F.lower("lang").isin(*PROFILE_LABELS) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = keep(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("text").cast("string").alias("text")))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counted = Counter(w for t in batch.column("text").to_pylist() for words in english_sentences(t) for w in words)
-            grams: Counter = Counter()
-            for word, n in counted.items():
-                for g in trigrams(word):
-                    grams[g] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
-
-    counts = {r.g: r.n for r in rows.mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    grams = read.where("doc_id is null").select(F.explode(F.arrays_zip("grams", "counts")).alias("u"))
+    counts = {r.g: r.n for r in grams.groupBy(F.col("u.grams").alias("g")).agg(F.sum("u.counts").alias("n")).collect()}
     if not counts:
         return None
+    fitted = Profile(counts)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profile = Profile(counts)
+        worth = fitted.worth.__getitem__  # without floors as yet
         for batch in batches:
-            texts = [x for t in batch.column("text").to_pylist() if (x := english_sentences(t))]
-            scores = [(0, profile.score(words)) for x in texts for words in x] + [(1, profile.score([w for words in x for w in words])) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in scores], pa.int32()), pa.array([b for _, b in scores], pa.float64())], names=["kind", "score"])
+            seen: Counter = Counter()
+            for prose in batch.column("prose").to_pylist():
+                above, letters = 0.0, 0
+                for sentence in prose.split("\n"):
+                    words = sentence.split(" ")
+                    own, long = sum(map(worth, words)), len(sentence) - len(words) + 1
+                    seen[0, round(own / long, STEPS)] += 1
+                    above += own
+                    letters += long
+                seen[1, round(above / letters, STEPS)] += 1
+            columns = [[k for k, _ in seen], [x for _, x in seen], list(seen.values())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64()))], names=["kind", "score", "n"]
+            )
 
-    rated = rows.mapInArrow(rate, "kind int, score double").groupBy("kind").agg(F.percentile("score", F.lit(0.001)).alias("least"))
-    floors = {r.kind: r.least - MARGIN for r in rated.collect()}
+    rated = read.where("english").select("prose").mapInArrow(rate, "kind int, score double, n bigint")
+    rated = rated.groupBy("kind", "score").agg(F.sum("n").alias("n")).groupBy("kind")
+    floors = {r.kind: r.least - MARGIN for r in rated.agg(F.percentile("score", F.lit(0.001), F.col("n")).alias("least")).collect()}
     return Profile(counts, (floors[0], floors[1]))
 
 
@@ -265,9 +301,9 @@ def _extract(items, profile: Profile | None = None):
         matcher = table_of(key, held, RUN) if held else None
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                sentences = english_sentences(text)
-                if profile is not None and sentences:
+            for doc, prose in zip(batch.column("doc_id").to_pylist(), batch.column("prose").to_pylist()):
+                sentences = [sentence.split(" ") for sentence in prose.split("\n")]
+                if profile is not None:
                     sentences = profile.english(sentences)
                 sentences = _without_passages(sentences, matcher)
                 n = sum(map(len, sentences))
@@ -326,8 +362,11 @@ def document_features(
         if size > ITEM_CHARS:
             raise ValueError(f"held-out items of {size} characters; at most {ITEM_CHARS} are taken along")
         held = [tuple(r) for r in kept.collect()]
-    docs = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    prose = keep(docs.mapInArrow(_extract(spark.sparkContext.broadcast(held), fit_profile(documents)), _SCHEMA))
+    with collected() as passing:
+        read = keep(read_sentences(documents))
+    found = read.where("doc_id is not null").select("doc_id", "prose")
+    prose = keep(found.mapInArrow(_extract(spark.sparkContext.broadcast(held), fit_profile(read)), _SCHEMA))
+    free(spark, passing)
     uses = lambda rows: rows.select("doc_id", F.explode(F.arrays_zip("words", "counts")).alias("u")).select(
         "doc_id", F.col("u.words").alias("word"), F.col("u.counts").alias("n")
     )

@@ -360,6 +360,17 @@ def test_languages_that_no_list_knows_are_no_english(spark):
     assert {r.doc_id for r in reading.document_features(d.drop("lang")).collect()} >= set(range(60))
 
 
+def test_the_profile_knows_all_documents_labelled_english(spark):
+    rng = random.Random(15)
+    usual = "window report section update change open save while small every team page value service system".split()
+    rare = "zqavix wkujoq vhyzuk qyxewo jzivuq xokwyj".split()
+    text = lambda names: " ".join(" ".join([*(rng.choice(("the", "of", "is", "in", "to")) for _ in range(3)), *rng.choices(names, k=5)]).capitalize() + "." for _ in range(6))
+    by_hash = [r.id for r in spark.range(2400).orderBy(F.xxhash64("id")).collect()]
+    docs = [(i, text(usual if k < 2300 else rare), "en") for k, i in enumerate(by_hash)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in reading.document_features(d, min_words=40).collect()} == set(by_hash)
+
+
 def test_hot_words_are_ranked_apart(spark, monkeypatch):
     docs = [(i, "The cat and the dog see the map of a town. " * 12 + f"Some rare{i} words here. ") for i in range(12)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
